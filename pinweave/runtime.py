@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,22 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once for each application, so that they can import it."""
+    sc = spark.sparkContext
+    if any(os.path.basename(p) == "pinweave.zip" for p in sc._python_includes):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="pinweave-"), "pinweave.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("pinweave", os.path.relpath(path, top)))
+    sc.addPyFile(target)
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation.
 
@@ -27,6 +46,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
