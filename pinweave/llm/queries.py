@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pinweave.llm import mixing, sharding
-from pinweave.runtime import Scratch
+import public_tokenizers
+
+from pinweave.llm import bpe, langid, mixing, quality, secrets, sharding
+from pinweave.runtime import Scratch, ship_package
 
 
 def _table(spark, sf_dir, name):
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -14,10 +17,26 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"), Scratch(spark, "op1"), shards=40)
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Scratch(spark, "op4"))
+
+
+def op6_language_id(spark, sf_dir):
+    return langid.identify(_table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
+
+
+def op7_byte_bpe(spark, sf_dir):
+    return bpe.tokenize(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_secret_scan(spark, sf_dir):
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality_rules, op6_language_id, op7_byte_bpe, op9_secret_scan, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
