@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pinweave.llm import bpe, langid, mixing, quality, secrets, sharding
+from pinweave.llm import bpe, jaccard, langid, mixing, quality, secrets, sharding, vectors
 from pinweave.runtime import Scratch, ship_package
 
 
@@ -17,6 +17,14 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"), Scratch(spark, "op1"), shards=40)
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.join_components(_table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+
+
+def op3_vector_dedup(spark, sf_dir):
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op3"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Scratch(spark, "op4"))
 
@@ -38,5 +46,25 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality_rules, op6_language_id, op7_byte_bpe, op9_secret_scan, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_vector_dedup, op4_quality_rules, op6_language_id, op7_byte_bpe, op9_secret_scan, op10_mixing)}
+# Brute force over all pairs; the operators themselves never form them.
+ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND a.n * 10 >= b.n * 9 AND b.n * 10 >= a.n * 9
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS x, doc_id AS c FROM s UNION SELECT o.b, r.c FROM r JOIN o ON o.a = r.x)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, s.sh
+""",
+    "op3_vector_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id AS x, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.x),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.c) AS component_id, v.vec_id = min(r.c) AS kept
+FROM v JOIN r ON r.x = v.vec_id LEFT JOIN n ON n.a = v.vec_id GROUP BY v.vec_id
+""",
+}
