@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pinweave.llm import bpe, jaccard, langid, mixing, quality, secrets, sharding, vectors
+from pinweave.llm import bpe, jaccard, langid, lm, mixing, quality, secrets, sharding, vectors
 from pinweave.runtime import Scratch, ship_package
 
 
@@ -37,6 +37,10 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.tokenize(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_lm_score(spark, sf_dir):
+    return lm.score(_table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_vector_dedup, op4_quality_rules, op6_language_id, op7_byte_bpe, op9_secret_scan, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_vector_dedup, op4_quality_rules, op6_language_id, op7_byte_bpe, op8_lm_score, op9_secret_scan, op10_mixing)}
 # Brute force over all pairs; the operators themselves never form them.
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": r"""
