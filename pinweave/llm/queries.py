@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pinweave.llm import bpe, jaccard, langid, lm, mixing, quality, secrets, sharding, vectors
+from pinweave.llm import bpe, jaccard, langid, lm, mixing, pii, quality, secrets, sharding, vectors
 from pinweave.runtime import Scratch, ship_package
 
 
+PII_KEY = b"replace this key in production"
+
+
 def _table(spark, sf_dir, name):
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,6 +32,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Scratch(spark, "op4"))
 
 
+def op5_pii_surrogates(spark, sf_dir):
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY, Scratch(spark, "op5"))
+
+
 def op6_language_id(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
 
@@ -50,7 +57,7 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_vector_dedup, op4_quality_rules, op6_language_id, op7_byte_bpe, op8_lm_score, op9_secret_scan, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_vector_dedup, op4_quality_rules, op5_pii_surrogates, op6_language_id, op7_byte_bpe, op8_lm_score, op9_secret_scan, op10_mixing)}
 # Brute force over all pairs; the operators themselves never form them.
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": r"""

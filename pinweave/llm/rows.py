@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 PIECE_ROWS = 512
 
@@ -19,9 +19,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list]], fields:
     and values pass; ``drop`` leaves the column itself out.
     """
     kept = [c for c in df.columns if not (drop and c == column)]
-    schema = StructType([df.schema[c] for c in kept])
-    for name, _, kind in fields:
-        schema = schema.add(name, kind)
+    schema = StructType([*[df.schema[c] for c in kept], *[StructField(name, DataType.fromDDL(kind)) for name, _, kind in fields]])
     names = [*kept, *[f[0] for f in fields]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
