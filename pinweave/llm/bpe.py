@@ -5,13 +5,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from pinweave.llm.rows import map_texts
+
 CACHE_CHARS = 12_000_000  # a worker forgets its pre-tokens when they hold so many characters
 SHIFT = 256  # byte b is written as the character SHIFT + b
 TO_CHAR = {b: SHIFT + b for b in range(256)}
@@ -122,19 +124,15 @@ def tokenize(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> Dat
     """
     shared = docs.sparkSession.sparkContext.broadcast((load_ranks(path), pattern))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = Codec(*shared.value)
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                written, back = codec.encode_written(text or "")
-                row = (doc_id, written.count(",") + 1 if written else 0, hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(back).hexdigest())
-                rows.append((*row, [int(i) for i in written.split(",")] if written else []) if ids else row)
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = pdf["doc_id"].array if len(pdf) else out["doc_id"]
-            yield out
-
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+        def work(texts):
+            both = [codec.encode_written(t or "") for t in texts]
+            out = [[w.count(",") + 1 if w else 0 for w, _ in both], [hashlib.sha256(w.encode()).hexdigest() for w, _ in both], [hashlib.sha256(b).hexdigest() for _, b in both]]
+            return [*out, [np.fromstring(w, dtype=np.int32, sep=",") for w, _ in both]] if ids else out
+
+        return work
+
+    fields = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+    return map_texts(docs.select("doc_id", "text"), make, [*fields, ("ids", pa.list_(pa.int32()), "array<int>")] if ids else fields)

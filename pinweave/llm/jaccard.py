@@ -7,10 +7,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pinweave.llm.rows import map_texts
 from pinweave.llm.tiles import tile
 from pinweave.operators.components import connected_components
 from pinweave.runtime import Scratch
@@ -109,35 +111,29 @@ def overlap_bound(maps: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: in
 def _digest(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, size of the set, its 128-bit name and its part names."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                rows = []
-                for text in pdf["text"].iloc[at : at + 500]:
-                    h = shingles(text, n)
-                    if not len(h):
-                        rows.append((0, None, None, None))
-                        continue
-                    name = xxhash.xxh3_128_digest(h.tobytes())
-                    rows.append((len(h), *np.frombuffer(name, dtype=np.int64).tolist(), signatures(h, num, den).view(np.int64)))
-                out = pd.DataFrame(rows, columns=["n_shingles", "h1", "h2", "parts"]).astype({"h1": "Int64", "h2": "Int64"})
-                out.insert(0, "doc_id", pdf["doc_id"].iloc[at : at + 500].array)
-                yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, parts array<long>")
+    def make():
+        def work(texts):
+            sets = [shingles(t, n) for t in texts]
+            names = [np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype=np.int64).tolist() if len(h) else (None, None) for h in sets]
+            return [[len(h) for h in sets], [x for x, _ in names], [y for _, y in names], [signatures(h, num, den).view(np.int64) if len(h) else None for h in sets]]
+
+        return work
+
+    return map_texts(docs.select("doc_id", "text"), make, [("n_shingles", pa.int64(), "long"), ("h1", pa.int64(), "long"), ("h2", pa.int64(), "long"), ("parts", pa.list_(pa.int64()), "array<long>")])
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """The sorted sets themselves, packed, with their bitmaps: node, size, elements, bits."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                sets = [shingles(t, n) for t in part["text"]]
-                yield pd.DataFrame({"node": part["doc_id"].array, "size": [len(h) for h in sets], "elements": [h.tobytes() for h in sets], "bits": [bitmap(h).tobytes() for h in sets]})
+    def make():
+        def work(texts):
+            sets = [shingles(t, n) for t in texts]
+            return [[len(h) for h in sets], [h.tobytes() for h in sets], [bitmap(h).tobytes() for h in sets]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "node long, size long, elements binary, bits binary")
+        return work
+
+    fields = [("size", pa.int64(), "long"), ("elements", pa.binary(), "binary"), ("bits", pa.binary(), "binary")]
+    return map_texts(docs.select(F.col("doc_id").alias("node"), "text"), make, fields)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -243,3 +239,21 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     result = scratch.keep(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "result")
     scratch.drop(rows)
     return result
+
+
+def keep_firsts(docs: DataFrame, scratch: Scratch, **params) -> DataFrame:
+    """The documents in their columns, one of each linked group: the row of the least doc_id, once.
+
+    Rows with a null doc_id are linked with nothing and all stay. Of several rows of
+    one doc_id the one with the least text stays. Dropped ids reach the executors by
+    broadcast up to ``MAX_BROADCAST_IDS`` and by a shuffled join beyond.
+    """
+    found = join_components(docs, scratch, **params)
+    lost = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    many = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    drop = scratch.keep(lost.withColumn("_lost", F.lit(True)).unionByName(many.withColumn("_lost", F.lit(False))).groupBy("_id").agg(F.max("_lost").alias("_lost")), "dropped")
+    drop = F.broadcast(drop) if drop.count() <= MAX_BROADCAST_IDS else drop
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id")).join(drop, "_id", "left")
+    alone = rows.where("_lost IS NULL").select("_row")
+    again = rows.where("NOT _lost").groupBy("_id").agg(F.min_by("_row", F.struct(F.col("_row.text"), F.xxhash64("_row"))).alias("_row")).select("_row")
+    return alone.union(again).select("_row.*")

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pinweave.llm.rows import map_texts
 from pinweave.runtime import Scratch, broadcast_if_small
 
 SYMBOLS = 48  # the most frequent folded bytes of the training sample, and one for the rest
@@ -142,7 +144,7 @@ def total_bits(texts: list[bytes], to_symbol: bytes, table: np.ndarray) -> np.nd
     return out
 
 
-def identify(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def identify(docs: DataFrame, scratch: Scratch, carry: bool = False) -> DataFrame:
     """Predict the language of every whole text.
 
     Trains on text and lang of rows outside the held-out quarter (crc32 of the
@@ -155,6 +157,7 @@ def identify(docs: DataFrame, scratch: Scratch) -> DataFrame:
     2 ** -bits. Null texts and texts without a letter are ``und`` with score 0, and so
     is every text when nothing can be learned. A null doc_id is neither held out nor
     learned from; repeated rows are predicted alike; an empty table gives no rows.
+    With ``carry`` the whole input row comes along as the struct ``_row``.
     """
     spark = docs.sparkSession
     train = docs.where(~split_flag(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
@@ -170,19 +173,24 @@ def identify(docs: DataFrame, scratch: Scratch) -> DataFrame:
     names = sorted(model)
     shared, token = spark.sparkContext.broadcast([model[k] for k in names]), uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            known = [i for i, t in enumerate(pdf["text"]) if names and t and LETTER.search(t)]
-            pred = np.full(len(pdf), "und", dtype=object)
-            score = np.zeros(len(pdf))
+    def make():
+        def work(texts):
+            known = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]
+            pred, score = ["und"] * len(texts), [0.0] * len(texts)
             if known:
-                texts = pdf["text"].array
                 bits = total_bits([texts[i].encode("utf-8", "surrogatepass") for i in known], to_symbol, _table(token, shared.value))
-                best = bits.argmin(axis=1)
-                pred[known] = np.array(names, dtype=object)[best]
-                score[known] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-            yield pd.DataFrame({**{c: pdf[c].array for c in pdf.columns if c != "text"}, "lang_pred": pred, "score": score})
-
-    flagged = docs.select("doc_id", F.coalesce(split_flag(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return flagged.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+                sure = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+                for i, k, s in zip(known, bits.argmin(axis=1).tolist(), sure.tolist(), strict=True):
+                    pred[i], score[i] = names[k], s
+            return [pred, score]
+
+        return work
+
+    flagged = docs.select("doc_id", F.coalesce(split_flag(F.col("doc_id")), F.lit(False)).alias("held_out"), "text", *([F.struct(*docs.columns).alias("_row")] if carry else []))
+    return map_texts(flagged, make, [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double")])
+
+
+def keep_identified(docs: DataFrame, scratch: Scratch, least_score: float = 0.5) -> DataFrame:
+    """The documents in their columns with lang as predicted, without those that are ``und`` or predicted below ``least_score``."""
+    done = identify(docs, scratch, carry=True).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return done.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"_row.`{c}`") for c in docs.columns])

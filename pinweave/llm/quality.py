@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pinweave.llm.rows import map_texts
 from pinweave.runtime import Scratch, broadcast_if_small
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -111,19 +111,12 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, alpha: float = 0
     table gives no rows. The driver sees counts by stratum, rule and grid step only,
     of strata that have enough labels.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pd.DataFrame([measure(t) for t in pdf["text"]], columns=[*names, *RULES])
-            out.insert(0, "stratum", pdf["stratum"].array)
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
-
+    fields = [(c, pa.int64(), "long") for c in names] + [(c, pa.int32(), "int") for c in RULES]
+    make = lambda: lambda texts: list(map(list, zip(*[measure(t) for t in texts], strict=True))) if texts else [[] for _ in fields]
     stratum = F.when(F.col("lang").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "lang")).alias("stratum")
-    schema = f"doc_id {kind}, stratum string, " + ", ".join([f"{c} long" for c in names] + [f"{c} int" for c in RULES])
-    rows = scratch.keep(docs.select("doc_id", stratum, "text").mapInPandas(run, schema), "figures")
+    rows = scratch.keep(map_texts(docs.select("doc_id", stratum, "text"), make, fields), "figures")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     truth = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     seen = scratch.keep(rows.where("NOT base_failed").join(truth, "doc_id").select("stratum", "quality", *RULES), "labelled")

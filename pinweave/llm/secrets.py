@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from operator import length_hint
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pinweave.llm.rows import map_texts
 
 
 @dataclass(frozen=True)
@@ -426,6 +428,10 @@ def _spans(auto: Automaton, text: str) -> list[tuple[int, str, int]]:
     return [(s, auto.rules[r].kind, e) for s, r, e in spans]
 
 
+def _joined(spans: list[tuple[int, str, int]]) -> str:
+    return ",".join([f"{k}:{s}:{e}" for s, k, e in spans])
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """Find secrets in every whole text.
 
@@ -437,29 +443,27 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
     """
     shared = docs.sparkSession.sparkContext.broadcast(automaton(rules))
     base = [r.kind for r in BASE_RULES]
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         auto = shared.value
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                spans = _spans(auto, text) if text else []
-                own = [(s, k, e) for s, k, e in spans if k in base]
-                digest = hashlib.sha256(",".join([f"{k}:{s}:{e}" for s, k, e in own]).encode()).hexdigest()
-                rows.append((*[sum(k == b for _, k, _ in own) for b in base], digest, ",".join([f"{k}:{s}:{e}" for s, k, e in spans])))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].array if len(pdf) else [])
-            yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+        def work(texts):
+            spans = [_spans(auto, t) if t else [] for t in texts]
+            own = [[x for x in found if x[1] in base] for found in spans]
+            counts = [[sum(k == b for _, k, _ in found) for found in own] for b in base]
+            return [*counts, [hashlib.sha256(_joined(found).encode()).hexdigest() for found in own], [_joined(found) for found in spans]]
+
+        return work
+
+    fields = [(f"n_{b}", pa.int64(), "long") for b in base] + [("base_sha256", pa.string(), "string"), ("spans", pa.string(), "string")]
+    return map_texts(docs.select("doc_id", "text"), make, fields)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, mark: str = "[secret]") -> DataFrame:
     """The documents, all columns and rows, with every found span (overlaps joined) replaced by ``mark``; null texts stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton(rules))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         auto = shared.value
 
         def clean(text):
@@ -472,7 +476,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
                 at = max(at, e)
             return "".join([*out, text[at:]])
 
-        for pdf in batches:
-            yield pdf.assign(text=[clean(t) for t in pdf["text"]])
+        return lambda texts: [[clean(t) for t in texts]]
 
-    return docs.mapInPandas(run, docs.schema)
+    rows = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    done = map_texts(rows, make, [("_text", pa.string(), "string")])
+    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
