@@ -58,27 +58,31 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 @lru_cache(maxsize=None)
 def bands(num: int, den: int, top: int) -> tuple[tuple[int, int, int], ...]:
-    """Size bands ``(low, high, parts)`` up to ``top``.
+    """Size bands ``(low, high, parts)`` up to ``top``, and into how many parts a band cuts the hash range.
 
     Sets of sizes a and b with Jaccard of at least num/den differ in at most
-    (a + b)(den - num)/(den + num) elements. With one part more than that for the
-    band's largest sizes, two linked sets agree in a whole part of the hash range.
+    (a + b)(den - num)/(den + num) elements, so they differ in at most so many parts;
+    a band has more parts than that for its largest sizes.
     """
     out, low = [], 1
     while low <= top:
-        parts, high = (2 * low * (den - num)) // (den + num) + 1, low
-        if parts == 1:
-            while (2 * (high + 1) * (den - num)) // (den + num) == 0:
-                high += 1
-        else:
-            high = low + low // 4
-        out.append((low, high, (2 * high * (den - num)) // (den + num) + 1))
+        high = low + low // 2
+        while (2 * (high + 1) * (den - num)) // (den + num) == 0:
+            high += 1
+        most = (2 * high * (den - num)) // (den + num)
+        out.append((low, high, most + 1 + most // 8))
         low = high + 1
     return tuple(out)
 
 
 def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One 64-bit name for each part of the set, in its own band and in the next one if a linked set can lie there."""
+    """64-bit names of parts of the set, in its own band and in those above where a linked set can lie.
+
+    With at most d differing parts between the set and any partner in the band, the
+    first d + 1 parts that have elements are named, or all parts where fewer have.
+    Of two linked sets, take the one whose named parts end first: one of its d + 1
+    is the same in the other, lies within the other's reach, and so is named by both.
+    """
     n = len(h)
     largest = n * den // num
     top = 1 << max(largest, 1).bit_length()
@@ -88,10 +92,12 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
             continue
         if low > largest:
             break
-        at = ((h >> U(32)) * U(parts)) >> U(32)
-        edge = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
-        names = sums[edge[1:]] - sums[edge[:-1]]
-        out.append(_mix(names + _mix(np.arange(parts, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(low))))
+        edge = np.searchsorted(((h >> U(32)) * U(parts)) >> U(32), np.arange(parts + 1, dtype=np.uint64))
+        differ = ((n + min(high, largest)) * (den - num)) // (den + num)
+        at = np.flatnonzero(edge[1:] > edge[:-1])
+        at = at[: differ + 1] if len(at) > differ else np.arange(parts)
+        names = sums[edge[at + 1]] - sums[edge[at]]
+        out.append(_mix(names + _mix(at.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(low))))
     return np.concatenate(out)
 
 
@@ -136,25 +142,37 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").alias("node"), "text"), make, fields)
 
 
+def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of ``(a, b)`` those whose bitmaps allow a link."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            maps = [np.frombuffer(b"".join(pdf[c]), dtype=np.uint64).reshape(-1, WORDS) for c in ("ma", "mb")]
+            sa, sb = pdf["sa"].to_numpy(), pdf["sb"].to_numpy()
+            over_a = sa - np.bitwise_count(maps[0] & ~maps[1]).sum(axis=1, dtype=np.int64)
+            over_b = sb - np.bitwise_count(maps[1] & ~maps[0]).sum(axis=1, dtype=np.int64)
+            # an overlap o links when den * o >= num * (sa + sb - o)
+            yield pdf.loc[(den + num) * np.minimum(over_a, over_b) >= num * (sa + sb), ["a", "b"]]
+
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("size").alias("s" + k), F.col("bits").alias("m" + k))
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``(a, b)`` those that link: the bitmap bound first, then the intersection of the sorted arrays."""
+    """Of ``(a, b)`` those that link by the intersection of their sorted arrays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = np.zeros(len(pdf), dtype=bool)
-            for i, (sa, ea, ma, sb, eb, mb) in enumerate(zip(pdf["sa"], pdf["ea"], pdf["ma"], pdf["sb"], pdf["eb"], pdf["mb"], strict=True)):
-                need = num * (sa + sb)  # overlap o links when den * o >= num * (sa + sb - o)
-                bound = overlap_bound(np.frombuffer(ma, dtype=np.uint64)[None, :], np.array([sa]), np.frombuffer(mb, dtype=np.uint64), sb)[0]
-                if (den + num) * min(bound, sa, sb) < need:
-                    continue
+            for i, (ea, eb) in enumerate(zip(pdf["ea"], pdf["eb"], strict=True)):
                 x, y = np.frombuffer(ea, dtype=np.uint64), np.frombuffer(eb, dtype=np.uint64)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                keep[i] = (den + num) * int((y[at] == x).sum()) >= need
+                keep[i] = (den + num) * int((y[at] == x).sum()) >= num * (len(x) + len(y))
             yield pdf.loc[keep, ["a", "b"]]
 
-    side = lambda k, node: sets.select(F.col("node").alias(node), F.col("size").alias("s" + k), F.col("elements").alias("e" + k), F.col("bits").alias("m" + k))
-    return pairs.join(side("b", "b"), "b").join(side("a", "a"), "a").mapInPandas(run, "a long, b long")
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("elements").alias("e" + k))
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
 
 
 def _open_pairs(open_: DataFrame, num: int, den: int, few: int | None) -> DataFrame:
@@ -195,8 +213,8 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     distinct shingles of ``words`` words (the whole sequence where there are fewer).
     Documents with equal sets form a class, named by its least doc_id. Classes are
     placed in bands of near size, and each set is cut by hash range into so many parts
-    that two linked sets of a band must agree in one; classes that share a part make a
-    tile. In each tile all are first compared with the least class. While a tile still
+    that two linked sets of a band must agree in one that both name; classes that share
+    a part make a tile. In each tile all are first compared with the least class. While a tile still
     holds several components, pairs across them whose hashed bitmaps allow the overlap
     are verified: first the ``FEW`` best of each document and component, then all that
     are left, so no link that would join components is missed and no group is written
@@ -208,29 +226,34 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     table gives no rows; further columns change nothing.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.keep(_digest(docs, words, num, den), "digest")
+    wide = scratch.keep(_digest(docs, words, num, den), "digest")
+    rows = scratch.keep(wide.drop("parts"), "names")
+    key = ["n_shingles", "h1", "h2"]
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = scratch.keep(named.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    same = named.join(classes.where("copies > 1"), ["n_shingles", "h1", "h2"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a < b")
-    firsts = named.join(classes.withColumnRenamed("node", "doc_id").drop("copies"), ["n_shingles", "h1", "h2", "doc_id"], "left_semi")
-    spread = firsts.select(F.col("doc_id").alias("node"), F.explode("parts").alias("sig"))
+    classes = scratch.keep(named.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
+    same = named.join(classes.where("copies > 1"), key).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a < b")
+    firsts = wide.join(classes.withColumnRenamed("node", "doc_id").drop("copies"), [*key, "doc_id"], "left_semi")
+    spread = firsts.select(F.col("doc_id").alias("node"), F.explode("parts").alias("sig")).repartition("sig")
     shared = spread.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low < high").drop("high")
     tiles = scratch.keep(spread.join(shared, "sig"), "tiles")
+    scratch.drop(wide)
 
     involved = scratch.keep(tiles.select("node").distinct(), "involved")
     ids = involved.select(F.col("node").alias("doc_id"))
-    small = involved.count() <= MAX_BROADCAST_IDS
-    texts = docs.where("doc_id IS NOT NULL").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    sets = scratch.keep(_sets(texts, words), "sets")
+    ids = F.broadcast(ids) if involved.count() <= MAX_BROADCAST_IDS else ids
+    sets = scratch.keep(_sets(docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi"), words), "sets")
 
     stars = tiles.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = scratch.keep(_verify(stars, sets, num, den), "verified")
+    near = scratch.keep(_bounded(stars, sets, num, den), "near")
+    links = scratch.keep(_verify(near, sets, num, den), "verified")
     for few in (FEW, None):
         comp = connected_components(links, scratch)
         labelled = tiles.join(comp, tiles["node"] == comp["node"], "left").select("sig", tiles["node"].alias("node"), "rows", F.coalesce("component", tiles["node"]).alias("component"))
         split = labelled.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("sig")
         open_ = labelled.join(split, "sig").join(sets.select("node", "size", "bits"), "node")
-        pairs = _open_pairs(tile(open_, F.col("rows"), F.col("node"), TILE_ROWS), num, den, few)
+        pairs = scratch.keep(_open_pairs(tile(open_, F.col("rows"), F.col("node"), TILE_ROWS), num, den, few), "pairs")
+        if pairs.isEmpty():
+            break
         more = scratch.keep(_verify(pairs, sets, num, den), "verified")
         links = scratch.keep(links.union(more), "links")
     scratch.drop(sets, tiles)
