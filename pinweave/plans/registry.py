@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pinweave.functions.stats import numeric_stats
-from pinweave.model import Hypergraph, from_table, modulo_partition
+from pinweave.model import Hypergraph, PartitionConfig, from_table, modulo_partition
 from pinweave.operators import cuts, graphs, incidence, islands, metrics, overlay, projection, spectral
 from pinweave.operators.ordered import dense_ids
+from pinweave.plans import engine
 from pinweave.runtime import Scratch
 
-FLAGSHIP = "cutsize_mod4"
+FLAGSHIP = "spectral_bisect"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -458,3 +459,56 @@ round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 6) AS variance, ro
 def bench_numeric_stats(spark, sf_dir, scratch):
     rows = numeric_stats(table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "v"), ["v"], "l_quantity")
     return rows.select("v", "n", "least", "greatest", "spread", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "deviation")])
+
+
+@query()
+def spectral_bisect(h, scratch):
+    return engine.partition(h, PartitionConfig(num_parts=2), scratch)
+
+
+@query()
+def kway_partition(h, scratch):
+    return engine.partition(h, PartitionConfig(num_parts=4, refine_iters=1), scratch)
+
+
+@query()
+def distributed_bisect(h, scratch):
+    """The plan for inputs beyond one task, which keeps every step in tables."""
+    return engine.partition(h, PartitionConfig(num_parts=2, solver_iters=4, local_vertices=0), scratch)
+
+
+@query()
+def spectral_embedding(h, scratch):
+    graph = scratch.keep(graphs.hypergraph_to_graph(h), "graph")
+    return spectral.solve(h, graph, 2, 4, scratch).select("v", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
+
+
+@query()
+def lift_islands(h, scratch):
+    """Labels of the main component of what two cuts leave, carried to all vertices."""
+    cut = incidence.union_distinct(*_two_cuts(h))
+    left = h.with_(pins=h.pins.join(cut, "e", "left_anti"))
+    comps = scratch.keep(islands.numbered(islands.components(left, scratch), scratch), "components")
+    main = islands.main_component(left, comps)
+    return islands.lift(left, comps, modulo_partition(main.vertices, 2), 2)
+
+
+TINY = """cs AS (SELECT e, bit_or(CAST(1 AS BIGINT) << CAST(v % 8 AS INTEGER)) AS mask FROM pins GROUP BY e),
+ce AS (SELECT mask, sum(hwt) AS hwt FROM cs JOIN edges USING (e) WHERE bit_count(mask) > 1 GROUP BY mask),
+vw AS (SELECT v % 8 AS c, sum(vwt) AS w FROM verts GROUP BY 1),
+fx AS (SELECT v % 8 AS c, arg_max(fixed, v) FILTER (WHERE fixed >= 0) AS f FROM verts GROUP BY 1),
+a AS (SELECT range AS b FROM range(256)),
+ok AS (SELECT b FROM a, vw GROUP BY b HAVING greatest(sum(CASE WHEN (b >> CAST(c AS INTEGER)) & 1 = 1 THEN w ELSE 0 END), sum(CASE WHEN (b >> CAST(c AS INTEGER)) & 1 = 0 THEN w ELSE 0 END)) <= ceil(sum(w) * 0.6)
+  AND least(sum(CASE WHEN (b >> CAST(c AS INTEGER)) & 1 = 1 THEN w ELSE 0 END), sum(CASE WHEN (b >> CAST(c AS INTEGER)) & 1 = 0 THEN w ELSE 0 END)) >= floor(sum(w) * 0.4)),
+good AS (SELECT b FROM ok WHERE NOT EXISTS (SELECT 1 FROM fx WHERE f IS NOT NULL AND (b >> CAST(c AS INTEGER)) & 1 <> f))"""
+
+
+@query("{plain}WITH " + f"{CTES},\n{TINY} SELECT CAST(min(cut) AS BIGINT) AS cut FROM (SELECT b, sum(CASE WHEN (mask & b) <> 0 AND (mask & b) <> mask THEN hwt ELSE 0 END) AS cut FROM good, ce GROUP BY b)")
+def exact_tiny(h, scratch):
+    """The least balanced cut of eight supplier groups, by branch and bound in one task."""
+    coarse = overlay.contract(h, h.vertices.select("v", F.pmod("v", F.lit(8)).alias("c")))
+    got = engine.fetch(coarse)
+    least, most = metrics.limits_of(int(got.local.vwt.sum()), 2, 10)
+    part = engine.kernel.exact(got.local, 2, least, most)
+    cut = None if part is None else engine.kernel.cut_of(got.local, part)
+    return h.vertices.sparkSession.createDataFrame([(cut,)], "cut long")
