@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinweave.llm.rows import map_texts
-from pinweave.llm.tiles import tile
+from pinweave.llm.tiles import each_tile, spans_of, tile
 from pinweave.operators.components import connected_components
 from pinweave.runtime import Scratch
 
@@ -175,35 +175,41 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
 
 
-def _open_pairs(open_: DataFrame, num: int, den: int, few: int | None) -> DataFrame:
+def _open_pairs(open_: DataFrame, total: int, num: int, den: int, few: int | None) -> DataFrame:
     """Pairs across components within each tile whose bitmaps allow a link, ``few`` for each document and other component."""
+    keys = ["sig", "_i", "_j"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").sort_values("node")
-        maps = np.stack([np.frombuffer(b, dtype=np.uint64) for b in pdf["bits"]])
-        node, size, comp, block = (pdf[c].to_numpy() for c in ("node", "size", "component", "_b"))
+    def one(maps, size, node, comp, block, within):
         names, comp = np.unique(comp, return_inverse=True)
-        largest = np.bincount(comp).argmax()
-        within = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
-        out = []
+        largest, out = np.bincount(comp).argmax(), []
         for i in np.flatnonzero(comp != largest):
             ok = (comp != comp[i]) & ((comp == largest) | (node > node[i]))
             if not within:
                 ok &= block != block[i]
             js = np.flatnonzero(ok)
+            js = js[(den * np.minimum(size[js], size[i]) >= num * np.maximum(size[js], size[i]))]
             if not len(js):
                 continue
-            bound = np.minimum(overlap_bound(maps[js], size[js], maps[i], size[i]), np.minimum(size[js], size[i]))
+            bound = overlap_bound(maps[js], size[js], maps[i], size[i])
             fit = (den + num) * bound >= num * (size[js] + size[i])
             js, bound = js[fit], bound[fit]
             if few is not None and len(js) > few:
                 order = np.lexsort((node[js], -bound))
                 rank = pd.Series(comp[js][order]).groupby(comp[js][order]).cumcount().to_numpy()
                 js = js[order][rank < few]
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in js]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            if len(js):
+                out.append((np.minimum(node[i], node[js]), np.maximum(node[i], node[js])))
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, spans = spans_of(pdf.drop_duplicates([*keys, "node"]), keys, "node")
+        maps = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(-1, WORDS)
+        size, node, comp, block, i, j = (pdf[c].to_numpy() for c in ("size", "node", "component", "_b", "_i", "_j"))
+        out = [x for s, e in spans for x in one(maps[s:e], size[s:e], node[s:e], comp[s:e], block[s:e], i[s] == j[s])]
+        a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 2
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
-    return open_.groupBy("sig", "_i", "_j").applyInPandas(run, "a long, b long").distinct()
+    return each_tile(open_, keys, total, run, "a long, b long").distinct()
 
 
 def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -214,10 +220,10 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     Documents with equal sets form a class, named by its least doc_id. Classes are
     placed in bands of near size, and each set is cut by hash range into so many parts
     that two linked sets of a band must agree in one that both name; classes that share
-    a part make a tile. In each tile all are first compared with the least class. While a tile still
-    holds several components, pairs across them whose hashed bitmaps allow the overlap
-    are verified: first the ``FEW`` best of each document and component, then all that
-    are left, so no link that would join components is missed and no group is written
+    a part make a tile. In each tile all are first compared with the least class. While
+    the others of a tile (tiles of the same classes are taken once) still lie in
+    several components, pairs across them whose hashed bitmaps allow the overlap are
+    verified: first the ``FEW`` best of each document and component, then all that are left, so no link that would join components is missed and no group is written
     out as all its pairs. Tiles of over ``TILE_ROWS`` rows are dealt as pairs of blocks.
 
     Returns doc_id, n_shingles, component_id (the least doc_id reachable). Texts that
@@ -246,12 +252,21 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     stars = tiles.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     near = scratch.keep(_bounded(stars, sets, num, den), "near")
     links = scratch.keep(_verify(near, sets, num, den), "verified")
+    rest = tiles.where("node > low").select("sig", "node")
+    who = rest.groupBy("sig").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).where("rows > 1")
+    once = who.groupBy("rows", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "rows")
+    once = scratch.keep(once, "once")
+    rest = scratch.keep(rest.join(once, "sig"), "rest")
     for few in (FEW, None):
         comp = connected_components(links, scratch)
-        labelled = tiles.join(comp, tiles["node"] == comp["node"], "left").select("sig", tiles["node"].alias("node"), "rows", F.coalesce("component", tiles["node"]).alias("component"))
+        labelled = rest.join(comp, rest["node"] == comp["node"], "left").select("sig", rest["node"].alias("node"), "rows", F.coalesce("component", rest["node"]).alias("component"))
         split = labelled.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("sig")
-        open_ = labelled.join(split, "sig").join(sets.select("node", "size", "bits"), "node")
-        pairs = scratch.keep(_open_pairs(tile(open_, F.col("rows"), F.col("node"), TILE_ROWS), num, den, few), "pairs")
+        split = scratch.keep(split.join(once, "sig"), "open")
+        total = split.agg(F.sum(F.col("rows") * F.ceil(F.col("rows") / TILE_ROWS))).first()[0]
+        if not total:
+            break
+        open_ = labelled.join(split.select("sig"), "sig").join(sets.select("node", "size", "bits"), "node")
+        pairs = scratch.keep(_open_pairs(tile(open_, F.col("rows"), F.col("node"), TILE_ROWS), total, num, den, few), "pairs")
         if pairs.isEmpty():
             break
         more = scratch.keep(_verify(pairs, sets, num, den), "verified")

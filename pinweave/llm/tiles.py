@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +21,27 @@ def tile(rows: DataFrame, size: Column, ident: Column, most: int) -> DataFrame:
     own = F.pmod(F.hash(ident), blocks)
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     return rows.withColumn("_b", own).withColumn("_t", F.explode(pairs)).withColumn("_i", F.col("_t.i")).withColumn("_j", F.col("_t.j")).drop("_t")
+
+
+BATCH_ROWS = 8192
+
+
+def each_tile(tiles: DataFrame, keys: list[str], total: int, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply ``work`` to batches of whole tiles of about ``BATCH_ROWS`` rows in all; ``spans_of`` finds the tiles in one.
+
+    Tiles are small and many, so they are dealt into hashed batches, as many as
+    ``total`` rows need, instead of being grouped one by one.
+    """
+    batches = max(1, -(-total // BATCH_ROWS))
+    return tiles.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(batches))).groupBy("_batch").applyInPandas(work, schema)
+
+
+def spans_of(pdf: pd.DataFrame, keys: list[str], within: str) -> tuple[pd.DataFrame, Iterator[tuple[int, int]]]:
+    """The batch sorted by tile, then by ``within``, and the row range of each tile."""
+    pdf = pdf.sort_values([*keys, within], ignore_index=True)
+    new = np.zeros(len(pdf), dtype=bool)
+    for k in keys:
+        col = pdf[k].to_numpy()
+        new[1:] |= col[1:] != col[:-1]
+    edge = np.concatenate([[0], np.flatnonzero(new), [len(pdf)]])
+    return pdf, zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
