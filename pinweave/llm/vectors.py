@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinweave.llm.tiles import tile
+from pinweave.llm.tiles import each_tile, spans_of, tile
 from pinweave.operators.components import connected_components
 from pinweave.runtime import Scratch
 
-TABLES = 5
+TABLES = 5  # 8 at most
 CELLS = 3  # lattice points a vector is filed under in a table: its own and the nearest others
 SCALE = 0.56  # lattice unit for unit vectors
 TILE_ROWS = 4096
@@ -78,7 +78,7 @@ def cells(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
         gain = off @ SHORTEST.T  # the larger, the nearer is own + that vector
         side = np.argpartition(-gain, CELLS - 1, axis=1)[:, : CELLS - 1]
         points = np.concatenate([own[:, None, :], own[:, None, :] + SHORTEST[side]], axis=1)
-        out[:, t, :] = ((2 * points).astype(np.int64) * mult).sum(axis=2) * TABLES + t
+        out[:, t, :] = ((2 * points).astype(np.int64) * mult).sum(axis=2) * 8 + t  # wraps; the low bits keep the table
     return out
 
 
@@ -101,58 +101,61 @@ def _named(classes: DataFrame) -> DataFrame:
     return classes.mapInPandas(run, "node long, label long, copies long, dim int, vector binary, cells array<long>")
 
 
-def _links(tiles: DataFrame, cosine: float) -> DataFrame:
+def _links(tiles: DataFrame, total: int, cosine: float) -> DataFrame:
     """Within each tile: how many vectors each class links with, counted only where two classes first meet, and links that span the tile's components."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        x = np.stack([np.frombuffer(v, dtype=np.float64) for v in pdf["vector"]])
-        x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-        names = np.stack(pdf["cells"].to_list()).reshape(len(pdf), TABLES, CELLS)
-        node, copies, block = (pdf[c].to_numpy() for c in ("node", "copies", "_b"))
-        here, within = pdf["cell"].iloc[0], pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
-        table = int(here % TABLES)
-        linked = np.zeros(len(pdf), dtype=np.int64)
-        root = np.arange(len(pdf))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for at in range(0, len(pdf), BLOCK):
-            sims = x[at : at + BLOCK] @ x[at:].T
-            i, j = np.nonzero(sims >= cosine)
+    keys = ["cell", "label", "dim", "_i", "_j"]
+
+    def one(x, names, node, copies, block, here, within):
+        """Links within one tile: rows, counts and least linked rows; None if there are none."""
+        found, root = [], np.arange(len(x))
+        table = int(here) & 7
+        for at in range(0, len(x), BLOCK):
+            i, j = np.nonzero(x[at : at + BLOCK] @ x[at:].T >= cosine)
             i, j = i + at, j + at
             ok = i < j
             if not within:
                 ok &= block[i] != block[j]
             i, j = i[ok], j[ok]
-            first = np.ones(len(i), dtype=bool)
-            for t in range(table):
-                for a in range(CELLS):
-                    for b in range(CELLS):
-                        first &= names[i, t, a] != names[j, t, b]
-            if CELLS > 1:
-                for a in range(CELLS):
-                    mine = names[i, table, a]
-                    shared = np.zeros(len(i), dtype=bool)
-                    for b in range(CELLS):
-                        shared |= mine == names[j, table, b]
-                    first &= ~(shared & (mine < here))
-            i, j = i[first], j[first]
-            np.add.at(linked, i, copies[j])
-            np.add.at(linked, j, copies[i])
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                a, b = find(a), find(b)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-        top = np.array([find(k) for k in range(len(pdf))], dtype=np.int64)
+            if not len(i):
+                continue
+            first = (names[i, :table, :, None] != names[j, :table, None, :]).all(axis=(1, 2, 3))
+            both = (names[i, table, :, None] == names[j, table, None, :]).any(axis=2)
+            first &= ~(both & (names[i, table] < here)).any(axis=1)
+            found.append((i[first], j[first]))
+        if not found:
+            return None
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+        if not len(i):
+            return None
+        linked = np.bincount(i, weights=copies[j], minlength=len(x)) + np.bincount(j, weights=copies[i], minlength=len(x))
+        while True:  # least row that each row reaches
+            low = np.minimum(root[i], root[j])
+            new = root.copy()
+            np.minimum.at(new, i, low)
+            np.minimum.at(new, j, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
         hit = linked > 0
-        return pd.DataFrame({"node": node[hit], "linked": linked[hit], "top": node[top][hit]})
+        return node[hit], linked[hit].astype(np.int64), node[root][hit]
 
-    return tiles.groupBy("cell", "label", "dim", "_i", "_j").applyInPandas(run, "node long, linked long, top long")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.groupby("dim"):
+            part, spans = spans_of(part, keys, "node")
+            x = np.frombuffer(b"".join(part["vector"]), dtype=np.float64).reshape(len(part), -1)
+            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            names = np.stack(part["cells"].to_list()).reshape(len(part), TABLES, CELLS)
+            node, copies, block, cell, i, j = (part[c].to_numpy() for c in ("node", "copies", "_b", "cell", "_i", "_j"))
+            for s, e in spans:
+                if (got := one(x[s:e], names[s:e], node[s:e], copies[s:e], block[s:e], cell[s], i[s] == j[s])) is not None:
+                    out.append(got)
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, dtype=np.int64)] * 3
+        return pd.DataFrame(dict(zip(("node", "linked", "top"), cols, strict=True)))
+
+    return each_tile(tiles, keys, total, run, "node long, linked long, top long")
 
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = 0.93) -> DataFrame:
@@ -184,7 +187,9 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = 0.93)
     cell = ["cell", "label", "dim"]
     filed = named.withColumn("cell", F.explode("cells"))
     full = filed.groupBy(*cell).agg(F.count("*").alias("rows")).where("rows > 1")
-    found = scratch.keep(_links(tile(filed.join(full, cell), F.col("rows"), F.col("node"), TILE_ROWS), cosine), "found")
+    full = scratch.keep(full, "cells")
+    total = full.agg(F.sum(F.col("rows") * F.ceil(F.col("rows") / TILE_ROWS))).first()[0] or 0
+    found = scratch.keep(_links(tile(filed.join(full, cell), F.col("rows"), F.col("node"), TILE_ROWS), total, cosine), "found")
     scratch.drop(named)
     member = scratch.keep(good.join(classes.select(*key, "node", "copies"), key).select("vec_id", "node", "copies"), "members")
     links = found.select(F.col("top").alias("a"), F.col("node").alias("b")).union(member.where("node < vec_id").select(F.col("node").alias("a"), F.col("vec_id").alias("b")))
