@@ -82,6 +82,15 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def _log_prob_of(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row at y; z is overwritten."""
+    at = z[np.arange(len(y)), y].copy()
+    top = z.max(axis=1)
+    z -= top[:, None]
+    np.exp(z, out=z)
+    return at - top - np.log(z.sum(axis=1))
+
+
 def _by_class(cls: np.ndarray):
     order = np.argsort(cls, kind="stable")
     edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
@@ -111,9 +120,19 @@ class Network:
             y = ids[at + REACH : at + REACH + m]
             real = y < VOCABULARY
             cls, mem = np.where(real, y // MEMBERS, 0), y % MEMBERS
-            lp = _log_softmax(h @ w["cls"] + w["cls_bias"])[np.arange(m), cls].astype(np.float64)
-            for c, idx in _by_class(cls):
-                lp[idx] += _log_softmax(h[idx] @ w["mem"][c] + w["mem_bias"][c])[np.arange(len(idx)), mem[idx]]
+            z = h @ w["cls"]
+            z += w["cls_bias"]
+            lp = _log_prob_of(z, cls).astype(np.float64)
+            order = np.argsort(cls, kind="stable")
+            edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+            h, inner, within = h[order], mem[order], np.empty(m)
+            for c in range(CLASSES):
+                s, e = edge[c], edge[c + 1]
+                if s < e:
+                    z = h[s:e] @ w["mem"][c]
+                    z += w["mem_bias"][c]
+                    within[s:e] = _log_prob_of(z, inner[s:e])
+            lp[order] += within
             out[at : at + m] = np.where(real, lp, 0.0)
         return out
 

@@ -36,6 +36,7 @@ NUMBER = r"(?<![\p{L}\p{N}_])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d(?:[ .-
 NAME = rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ ]\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}@_])){{0,2}}"
 PATTERNS = {"EMAIL": regex.compile(EMAIL), "NUMBER": regex.compile(NUMBER), "NAME": regex.compile(NAME)}
 IPV4 = regex.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)")
+IP_SPAN = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.-]){IPV4.pattern}(?!\.?[\p{{L}}\p{{N}}_])")
 LOCAL_PHONE = regex.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}")
 SSN = regex.compile(r"\d{3}-\d{2}-\d{4}")
 DIGIT_RUN = regex.compile(r"\d(?:[ .()+-]{0,2}\d){6}")
@@ -51,10 +52,8 @@ def luhn(digits: str) -> int:
 
 
 def number_type(s: str) -> str | None:
-    """IP, SSN, CARD (13 to 19 digits, bare or in groups) or PHONE (7 to 15 digits that begin with + or a bracket, or stand as 3, 3 and 4)."""
+    """SSN, CARD (13 to 19 digits, bare or in groups) or PHONE (7 to 15 digits that begin with + or a bracket, or stand as 3, 3 and 4)."""
     digits = "".join(c for c in s if c.isdigit())
-    if IPV4.fullmatch(s):
-        return "IP"
     if SSN.fullmatch(s):
         return "SSN"
     if 13 <= len(digits) <= 19 and "." not in s and s[0] not in "+(" and (luhn(digits) == 0 or len(digits) == 16):
@@ -69,13 +68,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     if "@" in text:
         out += [(m.start(), m.end(), "EMAIL", "") for m in PATTERNS["EMAIL"].finditer(text)]
-    if DIGIT_RUN.search(text) or IPV4.search(text):
-        for m in PATTERNS["NUMBER"].finditer(text):
+    ips = [(m.start(), m.end(), "IP", "") for m in IP_SPAN.finditer(text)]
+    out += ips
+    if DIGIT_RUN.search(text):
+        rest = text
+        for s, e, _, _ in ips:  # a number beside an address must not run into it
+            rest = rest[:s] + "\0" * (e - s) + rest[e:]
+        for m in PATTERNS["NUMBER"].finditer(rest):
             s, start = m[0], m.start()
             if kind := number_type(s):
                 out.append((start, m.end(), kind, ""))
                 continue
-            at = 0  # an address or number set off by blanks from other digits
+            at = 0  # a number set off by blanks from other digits
             for piece in s.split(" "):
                 if kind := number_type(piece):
                     out.append((start + at, start + at + len(piece), kind, ""))
