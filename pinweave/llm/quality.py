@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ BLANK = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 GRID = 200  # steps of a rule's value, from 0 to 1
-RULES = ("symbols", "capitals", "shouts", "dup_lines", "repeats")
+RULES = ("symbols", "capitals", "shouts", "dup_lines", "repeats", "stutters")
 CAPITALS = bytes(range(65, 91))
 
 
@@ -56,7 +57,7 @@ def measure(text: str | None) -> tuple:
     repeat = repeated_words(words)
     chars = len(text) - (len(data) - len(data.translate(None, BLANK)))
     capitals = len(data) - len(data.translate(None, CAPITALS))
-    values = ((n_symbols, n), (capitals, chars), (data.count(b"!"), n), (dup_lines, len(lines)), (repeat, n))
+    values = ((n_symbols, n), (capitals, chars), (data.count(b"!"), n), (dup_lines, len(lines)), (repeat, n), (sum(map(eq, words, words[1:])), n))
     return (n, chars, n_symbols, dup_lines, repeat, *[min(GRID, GRID * a // b) if b else 0 for a, b in values])
 
 
