@@ -171,3 +171,81 @@ def test_config_and_validation(h):
         PartitionConfig(num_parts=1)
     with pytest.raises(ValueError):
         validate(h.with_(vertices=h.vertices.selectExpr("v", "vwt", "4 AS fixed")), 2)
+
+
+def test_forest_equals_kruskal(spark, scratch):
+    from pinweave.operators import kernel, trees
+
+    rng = np.random.default_rng(1)
+    pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 30, size=(90, 2)) if a != b})
+    w = rng.integers(1, 9, size=len(pairs)).astype(float)
+    g = spark.createDataFrame([(a, b, float(x)) for (a, b), x in zip(pairs, w, strict=True)], "u long, v long, w double")
+    got = {(r["u"], r["v"]) for r in trees.minimum_spanning_forest(g, scratch).collect()}
+    sets, want = kernel.Sets(30), set()
+    for i in sorted(range(len(pairs)), key=lambda i: (w[i], pairs[i])):
+        if sets.join(*pairs[i]):
+            want.add(pairs[i])
+    assert got == want
+    x = spark.createDataFrame([(v, [float(v)]) for v in range(33)], "v long, x array<double>")
+    assert trees.spanning_tree(g, x, scratch).count() == 32
+    left = trees.pieces_without(g, x, g.limit(0), scratch)
+    assert left.select("root").distinct().count() == 33 - len(want)
+
+
+def test_forced_profile_equals_kernel(spark, scratch):
+    from pinweave.operators import kernel
+
+    rng = np.random.default_rng(9)
+    n, m = 9, 14
+    pe, pv = np.repeat(np.arange(m), 3), rng.integers(0, n, size=3 * m)
+    hwt = rng.integers(1, 5, size=m)
+    verts = spark.createDataFrame([(v, 1, -1) for v in range(n)], "v long, vwt int, fixed int")
+    hh = incidence.drop_single_pin_edges(Hypergraph(verts, spark.createDataFrame([(e, int(x)) for e, x in enumerate(hwt)], "e long, hwt int"), spark.createDataFrame([(int(a), int(b)) for a, b in zip(pe, pv, strict=True)], "e long, v long").distinct()))
+    parent = [None] + [int(rng.integers(0, i)) for i in range(1, n)]
+    tree = spark.createDataFrame(list(enumerate(parent)), "v long, parent long")
+    sides = spark.createDataFrame([(0, 0), (n - 1, 1)], "v long, side tinyint")
+    free = incidence.forced_edges(hh, sides)
+    sums = {k: hh.hyperedges.join(free.where(f"forced = '{k}'"), "e").agg({"hwt": "sum"}).first()[0] or 0 for k in ("0", "1", "01")}
+    loose = hh.with_(pins=hh.pins.join(free.where("forced = 'free'"), "e", "left_semi"))
+    prof = cuts.tree_profile(loose, tree, scratch).join(cuts.forced_profile(hh, tree, sides, scratch), "v").selectExpr("*", f"{sums['0']} AS f0", f"{sums['1']} AS f1", f"{sums['01']} AS f01")
+    got = {r["v"]: (r["exc0"], r["exc1"]) for r in cuts.tree_cut_costs(prof).collect()}
+    h = kernel.build(n, np.ones(n), np.full(n, -1), hwt, pe, pv)
+    side = np.full(n, -1)
+    side[0], side[n - 1] = 0, 1
+    p = kernel.profile(h, kernel.Rooted(n, np.arange(1, n), np.array(parent[1:])), h.vwt, side)
+    assert all(got[v] == (p.exc0[v], p.exc1[v]) for v in range(1, n))
+
+
+def test_multigrid(spark, scratch):
+    from pinweave.operators import multigrid
+
+    rng = np.random.default_rng(2)
+    n = 400
+    u, v = np.arange(n - 1), np.arange(1, n)
+    cycle = multigrid.Cycle(n, u, v, rng.random(n - 1) + 0.5)
+    assert cycle.levels and cycle(rng.random((n, 2))).shape == (n, 2)
+    g = spark.createDataFrame([(0, 1, 5.0), (1, 2, 1.0), (2, 3, 5.0), (3, 4, 0.1)], "u long, v long, w double")
+    grouped = multigrid.groups(g, scratch)
+    assert rows(grouped) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 2)]
+    assert rows(multigrid.coarsen(g, grouped)) == [(0, 2, 1.0)]
+
+
+def test_harness(spark, tmp_path):
+    from pinweave.plans.harness import run_cases, same_partition, summary
+
+    (tmp_path / "t.hgr").write_text(TEXT)
+    (tmp_path / "cases.tsv").write_text(f"name\thypergraph\tnum_parts\tseed\timb\nok\t{tmp_path}/t.hgr\t2\t1\t10\nbad\t{tmp_path}/none\t2\t1\t5\n")
+    runs = run_cases(spark, str(tmp_path / "cases.tsv"))
+    assert {r["name"]: r["status"] for r in runs.collect()} == {"ok": "ok", "bad": "failed"}
+    assert summary(runs).count() == 2
+    assert tuple(same_partition(part(spark, [0, 0, 1]), part(spark, [1, 1, 0])).first()) == (True, False, True)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pinweave.__main__ import main
+
+    (tmp_path / "t.hgr").write_text(TEXT)
+    (tmp_path / "t.fix").write_text(FIXED)
+    assert main([str(tmp_path / "t.hgr"), "--fixed-file", str(tmp_path / "t.fix"), "--imb", "10", "--output", str(tmp_path / "o")]) == 0
+    labels = (tmp_path / "o").read_text().split()
+    assert len(labels) == 8 and labels[6] == "1" and "cutsize" in capsys.readouterr().out
