@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pinweave.functions.stats import numeric_stats
 from pinweave.model import Hypergraph, PartitionConfig, from_table, modulo_partition
-from pinweave.operators import cuts, graphs, incidence, islands, metrics, overlay, projection, spectral
+from pinweave.operators import cuts, graphs, incidence, islands, metrics, multigrid, overlay, projection, spectral, trees
 from pinweave.operators.ordered import dense_ids
 from pinweave.plans import engine
 from pinweave.runtime import Scratch
@@ -512,3 +512,33 @@ def exact_tiny(h, scratch):
     part = engine.kernel.exact(got.local, 2, least, most)
     cut = None if part is None else engine.kernel.cut_of(got.local, part)
     return h.vertices.sparkSession.createDataFrame([(cut,)], "cut long")
+
+
+@query("""WITH RECURSIVE {ctes}, an AS (SELECT v AS d, v AS v FROM verts UNION ALL SELECT d, (v - 1) // 2 FROM an WHERE v > 0),
+fe AS (SELECT e, bool_or(fixed = 0) AS t0, bool_or(fixed = 1) AS t1 FROM pins JOIN verts USING (v) GROUP BY e HAVING bool_or(fixed = 0) <> bool_or(fixed = 1)),
+mp AS (SELECT pins.e, pins.v, t0 FROM pins JOIN verts USING (v) JOIN fe USING (e) WHERE fixed < 0), ms AS (SELECT e, count(*) AS size FROM mp GROUP BY e),
+c AS (SELECT an.v, mp.e, t0, count(*) AS n FROM mp JOIN an ON an.d = mp.v GROUP BY 1, 2, 3),
+k AS (SELECT c.v, sum(hwt) FILTER (WHERE t0) AS cut0, sum(hwt) FILTER (WHERE NOT t0) AS cut1, sum(hwt) FILTER (WHERE t0 AND n = size) AS fb0, sum(hwt) FILTER (WHERE NOT t0 AND n = size) AS fb1 FROM c JOIN ms USING (e) JOIN edges USING (e) GROUP BY 1)
+SELECT verts.v, CAST(coalesce(cut0, 0) AS BIGINT) AS cut0, CAST(coalesce(cut1, 0) AS BIGINT) AS cut1, CAST(coalesce(fb0, 0) AS BIGINT) AS fb0, CAST(coalesce(fb1, 0) AS BIGINT) AS fb1 FROM verts LEFT JOIN k ON k.v = verts.v""")
+def forced_tree_profile(h, scratch):
+    tree = h.vertices.select("v", F.when(F.col("v") > 0, F.floor((F.col("v") - 1) / 2)).cast("long").alias("parent"))
+    return cuts.forced_profile(h, tree, incidence.sides_from_fixed(h), scratch)
+
+
+@query("{plain}WITH " + f"{CTES},\n{GRAPH}, b AS (SELECT u, v, round(w, 6) AS w FROM g UNION ALL SELECT v, u, round(w, 6) FROM g) SELECT u AS i, v AS j, max(w) AS w FROM b GROUP BY u, v")
+def heaviest_of_pair(h, scratch):
+    graph = graphs.hypergraph_to_graph(h, order="pin")
+    return graphs.heaviest_of_pair(graphs.both_ways(graph).select(F.col("u").alias("i"), F.col("v").alias("j"), F.round("w", 6).alias("w")))
+
+
+@query()
+def spanning_forest(h, scratch):
+    """The least spanning forest of the graph weighed by distance in two coordinates."""
+    return trees.minimum_spanning_forest(graphs.reweight(graphs.hypergraph_to_graph(h, order="pin"), _embedded(h)), scratch)
+
+
+@query()
+def multigrid_level(h, scratch):
+    """The graph of groups one level up."""
+    graph = scratch.keep(graphs.hypergraph_to_graph(h, order="pin"), "graph")
+    return multigrid.coarsen(graph, multigrid.groups(graph, scratch))
