@@ -74,12 +74,12 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5, 2, 1
     or empty texts have size 0; a source whose texts are all empty has target 0 and
     rate 0; rows repeated in full get equal decisions; an empty table gives no rows.
     """
-    narrow = ["doc_id", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")]
+    narrow = ["doc_id", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own")]
     sizes = scratch.keep(docs.select(*narrow), "sizes")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan_targets(sizes, scratch, weights, ceiling).withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
     plan = scratch.keep(plan, "plan")
-    draws = _draws(seeds, F.col("doc_id"), F.col("crc"))
+    draws = _draws(seeds, F.col("doc_id"), F.col("own"))
     joined = sizes.join(broadcast_if_small(plan.select("skey", "part"), 100_000), "skey")
     hit = joined.groupBy("skey").agg(*[F.sum(F.when(d < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{i}") for i, d in enumerate(draws)])
     want = F.col("target") - F.col("whole") * F.col("source_size")
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5, 2, 1
     final = scratch.keep(plan.join(hit, "skey").select("skey", "source_size", "target", "rate", "whole", "part", best["i"].alias("seed")), "final")
     scratch.drop(plan)
     out = (docs.select(*narrow, *carry) if carry else sizes).join(broadcast_if_small(final, 100_000), "skey")
-    digest = F.md5(F.concat_ws("|", F.floor(F.col("seed") / DRAWS_PER_DIGEST).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("crc").cast("string")))
+    digest = F.md5(F.concat_ws("|", F.floor(F.col("seed") / DRAWS_PER_DIGEST).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("own")))
     draw = F.conv(F.substr(digest, (F.col("seed") % DRAWS_PER_DIGEST * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("double") / SPAN
     out = out.withColumn("copies", F.col("whole") + (draw < F.col("part")).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)

@@ -58,7 +58,7 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_vector_dedup, op4_quality_rules, op5_pii_surrogates, op6_language_id, op7_byte_bpe, op8_lm_score, op9_secret_scan, op10_mixing)}
-# Brute force over all pairs; the operators themselves never form them.
+# The joins by brute force over all pairs, which the operators themselves never form.
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -77,5 +77,20 @@ r AS (SELECT vec_id AS x, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.c) AS component_id, v.vec_id = min(r.c) AS kept
 FROM v JOIN r ON r.x = v.vec_id LEFT JOIN n ON n.a = v.vec_id GROUP BY v.vec_id
+""",
+    "op10_mixing": r"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS own FROM documents),
+w AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], CAST((row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS INTEGER)) AS weight, CAST(sum(size) AS DOUBLE) * 3 AS most FROM d GROUP BY skey),
+r AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY most / weight, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+p AS (SELECT skey, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM
+  (SELECT *, least(weight * coalesce((SELECT level FROM r WHERE weight * level < most ORDER BY most / weight, skey LIMIT 1), 1e300), most) AS target FROM w)),
+u AS (SELECT doc_id, own, skey, size, 4 * k + j AS seed, CAST('0x' || substr(md5(k || '|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || own), 1 + 8 * j, 8) AS BIGINT) / 4294967296.0::DOUBLE AS draw
+  FROM d, (SELECT CAST(range AS INTEGER) AS k FROM range(8)), (SELECT CAST(range AS INTEGER) AS j FROM range(4))),
+h AS (SELECT u.skey, seed, abs(sum(CASE WHEN draw < rate - floor(rate) THEN size ELSE 0 END) - (any_value(target) - floor(any_value(rate)) * any_value(source_size))) AS off FROM u JOIN p USING (skey) GROUP BY u.skey, seed),
+b AS (SELECT skey, arg_min(seed, (off, seed)) AS seed FROM h GROUP BY skey),
+c AS (SELECT d.doc_id, d.size, source_size, target, rate, CAST(floor(rate) AS BIGINT) + CAST(CAST('0x' || substr(md5(CAST(seed // 4 AS VARCHAR) || '|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || own), 1 + 8 * (seed % 4), 8) AS BIGINT) / 4294967296.0::DOUBLE < rate - floor(rate) AS BIGINT) AS copies
+  FROM d JOIN p USING (skey) JOIN b USING (skey))
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, rate FROM c
 """,
 }
