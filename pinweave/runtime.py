@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -17,7 +19,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file:/tmp/checkpoints/pinweave-{uuid.uuid4().hex}"
+        path = f"/tmp/checkpoints/pinweave-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        root = f"file:{path}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
