@@ -320,7 +320,7 @@ def test_pieces_add_up():
 # tokens
 
 
-def test_encoding_equals_the_reference_library():
+def test_encoding_equals_the_tokenizer_library():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     codec = bpe.Codec(bpe.load_ranks(BPE), public_tokenizers.PATTERN)
