@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,7 @@ class PartitionConfig:
     tol: float = 1e-8
     local_vertices: int = 200_000
     local_pins: int = 5_000_000
+    coarse_solver: Callable | None = None  # (hypergraph arrays, k, least, most) -> labels or None
 
     def __post_init__(self):
         if self.num_parts < 2:

@@ -87,3 +87,33 @@ def test_generator():
     assert a.permutation(50) == b.permutation(50) and sorted(a.permutation(50)) == list(range(50))
     assert a.fork("x").next() == b.fork("x").next() if a.s == b.s else True
     assert all(0 <= a.random() < 1 and a.below(7) < 7 for _ in range(200))
+
+
+def test_dense_algebra():
+    from pinweave.functions import dense
+
+    q = dense.helmert(6)
+    assert np.allclose(q.T @ q, np.eye(5)) and np.allclose(q.sum(axis=0), 0)
+    rng = np.random.default_rng(0)
+    x, s = rng.random((8, 3)), rng.random((8, 8))
+    b = s @ s.T
+    o = dense.orthonormalize(x, b @ x)
+    assert np.allclose(o.T @ b @ o, np.eye(3))
+    assert dense.orthonormalize(np.column_stack([x, x[:, 0]])).shape[1] in (3, 4)
+    assert np.allclose(dense.project_out(x, o, b @ o), 0)
+    a = np.diag(np.arange(8.0))
+    val, vec = dense.pencil(a, b)
+    assert np.allclose(a @ vec, b @ vec * val) and np.all(np.diff(val) >= 0)
+    assert np.allclose(dense.take(val, vec, 2, skip=1), vec[:, 1:3]) and dense.take(val, vec, 1, largest=True)[0] == vec[0, -1]
+    assert dense.columns_by_mask(x, np.array([True, False, True])).shape == (8, 2)
+    val, vec = dense.pencil(np.eye(3), np.diag([1.0, 1.0, 0.0]))
+    assert len(val) == 2
+
+
+def test_given_solver_is_taken_if_balanced(spark):
+    rng = np.random.default_rng(5)
+    h = random_hypergraph(rng, 10, 12)
+    want = kernel.exact(h, 2, *metrics.limits_of(int(h.vwt.sum()), 2, 10))
+    good = engine.local_best(spark, h, PartitionConfig(imb=10, coarse_solver=lambda h, k, least, most: want), rng)
+    bad = engine.local_best(spark, h, PartitionConfig(imb=10, coarse_solver=lambda h, k, least, most: np.zeros(h.n, dtype=int)), rng)
+    assert (good == want).all() and kernel.cut_of(h, bad) == kernel.cut_of(h, want)
