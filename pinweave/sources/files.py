@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from pinweave.model import Hypergraph
-from pinweave.runtime import ship_package
+from pinweave.operators.ordered import ordered
+from pinweave.runtime import Scratch, ship_package
 
 UNWEIGHTED = ("0", "10")
 NO_PARTS = -1
@@ -112,6 +113,37 @@ def read_hypergraph(spark: SparkSession, path: str, fixed: str | None = None, ke
     return Hypergraph(vertices, rows.where("kind = 'e'").select(F.col("id").alias("e"), F.col("value").cast("int").alias("hwt")), pins.select("e", "pos", "v"))
 
 
+def read_lines(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+    """``(line_no, line)`` of a text file in any store that Spark reads, split like any other input: byte offsets order the lines."""
+    rows = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
+    return ordered(spark.createDataFrame(rows, "at long, line string"), ["at"], scratch, rank="line_no").select("line_no", "line")
+
+
+def read_large_hypergraph(spark: SparkSession, path: str, scratch: Scratch) -> Hypergraph:
+    """The same as ``read_hypergraph`` for files beyond one task: lines are numbered and parsed in parallel."""
+    lines = scratch.keep(read_lines(spark, path, scratch), "lines")
+    head = lines.where("line_no = 0").first()
+    if head is None:
+        raise ValueError("empty hypergraph file")
+    numbers = head["line"].split()
+    if len(numbers) < 2:
+        raise ValueError("a hypergraph file begins with 'edges vertices [format]'")
+    m, n, led = int(numbers[0]), int(numbers[1]), (numbers[2] if len(numbers) > 2 else "0") not in UNWEIGHTED
+    if lines.agg(F.max("line_no")).first()[0] < m:
+        raise ValueError(f"the file ends before edge {m}")
+    tokens = F.filter(F.split(F.trim("line"), r"\s+"), lambda t: t != "")
+    edges = lines.where(F.col("line_no").between(1, m)).select((F.col("line_no") - 1).alias("e"), F.transform(tokens, lambda t: t.cast("long")).alias("t"))
+    hwt = F.when(F.lit(led) & (F.size("t") > 0), F.try_element_at("t", F.lit(1))).otherwise(1).cast("int")
+    pins = edges.select("e", F.posexplode(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))) if led else F.col("t")).alias("pos", "v")).select("e", "pos", (F.col("v") - 1).alias("v"))
+    if pins.where((F.col("v") < 0) | (F.col("v") >= n)).limit(1).count():
+        raise ValueError(f"an edge names a vertex outside 1..{n}")
+    pins = pins.groupBy("e", "v").agg(F.min("pos").alias("pos")).select("e", "pos", "v")
+    given = lines.where((F.col("line_no") > m) & (F.trim("line") != "")).select("line_no", F.split(F.trim("line"), r"\s+")[0].cast("int").alias("w"))
+    given = ordered(given, ["line_no"], scratch, rank="v").where(F.col("v") < n).select("v", "w")
+    vertices = spark.range(n).withColumnRenamed("id", "v").join(given, "v", "left").select("v", F.coalesce("w", F.lit(1)).alias("vwt"), F.lit(-1).alias("fixed"))
+    return Hypergraph(vertices, edges.select("e", hwt.alias("hwt")), pins)
+
+
 def read_partition_if_valid(spark: SparkSession, path: str, n: int) -> DataFrame | None:
     """A partition file if it is there and has n rows."""
     if not Path(path).exists():

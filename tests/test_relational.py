@@ -249,3 +249,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(tmp_path / "t.hgr"), "--fixed-file", str(tmp_path / "t.fix"), "--imb", "10", "--output", str(tmp_path / "o")]) == 0
     labels = (tmp_path / "o").read_text().split()
     assert len(labels) == 8 and labels[6] == "1" and "cutsize" in capsys.readouterr().out
+
+
+def test_large_reader_equals_small_one(spark, h, scratch, tmp_path):
+    for text in (TEXT, "2 3\n1 2\n\n", "2 3 1\n\n4 1 3\n\n7\n\n8\n"):
+        (tmp_path / "x.hgr").write_text(text)
+        small_one, large_one = files.read_hypergraph(spark, str(tmp_path / "x.hgr")), files.read_large_hypergraph(spark, str(tmp_path / "x.hgr"), scratch)
+        for t in ("vertices", "hyperedges", "pins"):
+            assert rows(getattr(small_one, t)) == rows(getattr(large_one, t))
+    (tmp_path / "x.hgr").write_text("3 2\n1 2\n")
+    with pytest.raises(ValueError, match="ends"):
+        files.read_large_hypergraph(spark, str(tmp_path / "x.hgr"), scratch)
