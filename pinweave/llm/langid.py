@@ -88,19 +88,22 @@ def code_lengths(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     (distinct over total plus distinct) and is predicted by the next shorter context,
     down to the uniform distribution.
     """
-    full = np.zeros(SYMBOLS ** (ORDER + 1), dtype=np.int64)
+    full = np.zeros(SYMBOLS ** (ORDER + 1), dtype=np.int32)
     full[codes] = counts
     levels = [full.reshape(-1, SYMBOLS)]
     while levels[-1].shape[0] > 1:
-        levels.append(levels[-1].reshape(SYMBOLS, -1, SYMBOLS).sum(axis=0))
+        levels.append(levels[-1].reshape(SYMBOLS, -1, SYMBOLS).sum(axis=0, dtype=np.int32))
     bits = np.full((1, SYMBOLS), np.log2(SYMBOLS))
     for n in reversed(levels):
-        bits = np.broadcast_to(bits, (n.shape[0] // bits.shape[0], *bits.shape)).reshape(-1, SYMBOLS)
-        distinct = (n > 0).sum(axis=1, keepdims=True)
-        total = n.sum(axis=1, keepdims=True) + distinct
-        with np.errstate(divide="ignore"):
-            own = np.log2(total) - np.where(n > 0, np.log2(np.maximum(n, 1)), np.log2(np.maximum(distinct, 1)) - bits)
-        bits = np.where(distinct > 0, own, bits)
+        out = np.empty(n.shape, dtype=np.float32 if n is levels[0] else np.float64)
+        for first in range(0, len(n), len(bits)):  # the contexts that share a longest known suffix lie one block apart
+            part = n[first : first + len(bits)]
+            distinct = (part > 0).sum(axis=1, keepdims=True)
+            total = part.sum(axis=1, keepdims=True) + distinct
+            with np.errstate(divide="ignore"):
+                own = np.log2(total) - np.where(part > 0, np.log2(np.maximum(part, 1)), np.log2(np.maximum(distinct, 1)) - bits)
+            out[first : first + len(bits)] = np.where(distinct > 0, own, bits)
+        bits = out
     return bits.ravel()
 
 
