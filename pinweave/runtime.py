@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; only a local session may fall back to one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,8 +30,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers once for each application, so that they can import it."""
+    """Send this package to the Python workers once for each application, and keep the batches that they get small, as texts can be long."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if any(os.path.basename(p) == "pinweave.zip" for p in sc._python_includes):
         return
     top = os.path.dirname(os.path.abspath(__file__))
