@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pinweave.llm.rows import map_texts
 from pinweave.llm.tiles import each_tile, spans_of, tile
 from pinweave.operators.components import connected_components
-from pinweave.runtime import Scratch
+from pinweave.runtime import Scratch, broadcast_if_small
 
 BITS = 1024
 WORDS = BITS // 64
-VOCABULARY = 500_000  # word hashes that a worker remembers
+VOCABULARY = 200_000  # word hashes that a worker remembers
 TILE_ROWS = 4096
+DEALT_SHINGLES = 3_000_000  # shingles behind the part names that one task of the tile join gets
 FEW = 8  # partners of a document in another component that the first pass over open tiles verifies
 MAX_BROADCAST_IDS = 1_000_000
 U = np.uint64
@@ -128,18 +129,28 @@ def _digest(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), make, [("n_shingles", pa.int64(), "long"), ("h1", pa.int64(), "long"), ("h2", pa.int64(), "long"), ("parts", pa.list_(pa.int64()), "array<long>")])
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """The sorted sets themselves, packed, with their bitmaps: node, size, elements, bits."""
+def _bits(texts: DataFrame, n: int) -> DataFrame:
+    """Sizes and bitmaps of the sets: node, size, bits."""
 
     def make():
         def work(texts):
             sets = [shingles(t, n) for t in texts]
-            return [[len(h) for h in sets], [h.tobytes() for h in sets], [bitmap(h).tobytes() for h in sets]]
+            return [[len(h) for h in sets], [bitmap(h).tobytes() for h in sets]]
 
         return work
 
-    fields = [("size", pa.int64(), "long"), ("elements", pa.binary(), "binary"), ("bits", pa.binary(), "binary")]
-    return map_texts(docs.select(F.col("doc_id").alias("node"), "text"), make, fields)
+    return map_texts(texts.select(F.col("doc_id").alias("node"), "text"), make, [("size", pa.int64(), "long"), ("bits", pa.binary(), "binary")])
+
+
+def _elements(texts: DataFrame, n: int) -> DataFrame:
+    """The sorted sets themselves, packed: node, elements."""
+    make = lambda: lambda texts: [[shingles(t, n).tobytes() for t in texts]]
+    return map_texts(texts.select(F.col("doc_id").alias("node"), "text"), make, [("elements", pa.binary(), "binary")])
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of ``ids(node)``: by broadcast of up to MAX_BROADCAST_IDS ids, else by a shuffled join."""
+    return docs.join(broadcast_if_small(ids.withColumnRenamed("node", "doc_id"), MAX_BROADCAST_IDS), "doc_id", "left_semi")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -158,8 +169,8 @@ def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``(a, b)`` those that link by the intersection of their sorted arrays."""
+def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Of ``(a, b)`` those that link by the intersection of their sorted arrays, which are made for the documents of the pairs alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -171,8 +182,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep[i] = (den + num) * int((y[at] == x).sum()) >= num * (len(x) + len(y))
             yield pdf.loc[keep, ["a", "b"]]
 
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("elements").alias("e" + k))
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
+    firsts = pairs.select(F.col("a").alias("node")).distinct()
+    sets = scratch.keep(_elements(_texts_of(docs, firsts.union(pairs.select(F.col("b").alias("node"))).distinct()), n), "sets")
+    side = lambda df, k: df.select(F.col("node").alias(k), F.col("elements").alias("e" + k))
+    left = side(sets, "b").join(broadcast_if_small(pairs, MAX_BROADCAST_IDS), "b")
+    right = side(sets.join(broadcast_if_small(firsts, MAX_BROADCAST_IDS), "node", "left_semi"), "a")
+    out = scratch.keep(left.join(right, "a").mapInPandas(run, "a long, b long"), "verified")
+    scratch.drop(sets)
+    return out
 
 
 def _open_pairs(open_: DataFrame, total: int, num: int, den: int, few: int | None) -> DataFrame:
@@ -239,24 +256,26 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     classes = scratch.keep(named.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     same = named.join(classes.where("copies > 1"), key).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a < b")
     firsts = wide.join(classes.withColumnRenamed("node", "doc_id").drop("copies"), [*key, "doc_id"], "left_semi")
-    spread = firsts.select(F.col("doc_id").alias("node"), F.explode("parts").alias("sig")).repartition("sig")
+    # one exchange serves the counting and both sides of the join, as all have the same number of partitions
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEALT_SHINGLES))
+    spread = firsts.select(F.col("doc_id").alias("node"), F.explode("parts").alias("sig")).repartition(tasks, "sig")
     shared = spread.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low < high").drop("high")
     tiles = scratch.keep(spread.join(shared, "sig"), "tiles")
     scratch.drop(wide)
+    del wide, firsts, spread, shared  # lets Spark clean up their shuffles
 
+    docs = docs.where("doc_id IS NOT NULL")
     involved = scratch.keep(tiles.select("node").distinct(), "involved")
-    ids = involved.select(F.col("node").alias("doc_id"))
-    ids = F.broadcast(ids) if involved.count() <= MAX_BROADCAST_IDS else ids
-    sets = scratch.keep(_sets(docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi"), words), "sets")
-
+    sets = scratch.keep(_bits(_texts_of(docs, involved), words), "bits")
     stars = tiles.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    near = scratch.keep(_bounded(stars, sets, num, den), "near")
-    links = scratch.keep(_verify(near, sets, num, den), "verified")
+    links = _verify(scratch.keep(_bounded(stars, sets, num, den), "near"), docs, words, num, den, scratch)
     rest = tiles.where("node > low").select("sig", "node")
     who = rest.groupBy("sig").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).where("rows > 1")
     once = who.groupBy("rows", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "rows")
     once = scratch.keep(once, "once")
     rest = scratch.keep(rest.join(once, "sig"), "rest")
+    tried = None
     for few in (FEW, None):
         comp = connected_components(links, scratch)
         labelled = rest.join(comp, rest["node"] == comp["node"], "left").select("sig", rest["node"].alias("node"), "rows", F.coalesce("component", rest["node"]).alias("component"))
@@ -266,11 +285,11 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
         if not total:
             break
         open_ = labelled.join(split.select("sig"), "sig").join(sets.select("node", "size", "bits"), "node")
-        pairs = scratch.keep(_open_pairs(tile(open_, F.col("rows"), F.col("node"), TILE_ROWS), total, num, den, few), "pairs")
+        pairs = _open_pairs(tile(open_, F.col("rows"), F.col("node"), TILE_ROWS), total, num, den, few)
+        pairs = tried = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
-        more = scratch.keep(_verify(pairs, sets, num, den), "verified")
-        links = scratch.keep(links.union(more), "links")
+        links = scratch.keep(links.union(_verify(pairs, docs, words, num, den, scratch)), "links")
     scratch.drop(sets, tiles)
     comp = connected_components(same.union(links), scratch)
     out = rows.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
