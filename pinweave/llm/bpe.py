@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 
 from pinweave.llm.rows import map_texts
 
-CACHE_CHARS = 12_000_000  # a worker forgets its pre-tokens when they hold so many characters
+CACHE_COST = 20_000_000  # a worker forgets what it has encoded when characters, and ENTRY for each entry, reach this
+ENTRY = 64
+TEXTS = 64  # whose new chunks are encoded in one call
 SHIFT = 256  # byte b is written as the character SHIFT + b
 TO_CHAR = {b: SHIFT + b for b in range(256)}
 NORMAL, UNKNOWN, MODEL_BPE = 1, 2, 2
@@ -62,8 +64,14 @@ def serialise(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _field(2, trainer) + _field(3, normalizer)
 
 
+def _stands_alone(chunk: str) -> bool:
+    """Whether pre-tokens within a chunk depend on nothing outside: one leading blank at most, no white space at either end of the rest."""
+    body = chunk[chunk[:1] == " " :]
+    return bool(body) and not body[0].isspace() and not body[-1].isspace()
+
+
 class Codec:
-    """Encodes and decodes whole texts; pre-tokens are remembered within a bound."""
+    """Encodes and decodes whole texts. What a chunk between blanks encodes to is remembered within a bound."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.split = tokens, regex.compile(pattern).findall
@@ -74,38 +82,52 @@ class Codec:
     def _forget(self) -> None:
         self.written, self.read, self.held = {}, {}, 0
 
-    def _learn(self, words: set[str]) -> None:
-        if self.held > CACHE_CHARS:
-            self._forget()
-        rest = []
+    def _ids_of(self, words: set[str]) -> dict[str, list[int]]:
+        """Token ids of pre-tokens: a token of the vocabulary is itself, the rest are encoded in one call."""
+        out, rest = {}, []
         for w in words:
             rank = self.whole.get(w.encode())
             if rank is None:
                 rest.append(w)
             else:
-                self._put(w, [rank])
+                out[w] = [rank]
         for w, ids in zip(rest, self.model.encode([as_pieces(w.encode()) for w in rest], num_threads=1) if rest else (), strict=True):
-            self._put(w, [i - 1 for i in ids])
-
-    def _put(self, word: str, ids: list[int]) -> None:
-        self.written[word] = ",".join(map(str, ids))
-        self.read[word] = self.decode(ids)
-        self.held += len(word)
+            out[w] = [i - 1 for i in ids]
+        return out
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Encode new chunks; one that does not stand alone is marked with None."""
+        parts = {c: self.split(c) if _stands_alone(c) else None for c in chunks}
+        ids_of = self._ids_of({w for ws in parts.values() if ws for w in ws})
+        for c, ws in parts.items():
+            if ws is None:
+                self.written[c] = self.read[c] = None
+            else:
+                ids = ids_of[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids_of[w]]
+                self.written[c], self.read[c] = ",".join(map(str, ids)), self.decode(ids)
+        self.held += sum(map(len, chunks)) + ENTRY * len(chunks)
 
-    def _known(self, text: str) -> list[str]:
-        words = self.split(text)
-        missing = {w for w in words if w not in self.written}
+    def encode_all(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """For each text its decimal ids joined by commas, and the bytes that they decode to; new chunks of all texts are learned at once."""
+        if self.held > CACHE_COST:
+            self._forget()
+        cut = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
+        missing = {c for chunks in cut if chunks for c in chunks if c not in self.written}
         if missing:
-            if self.held > CACHE_CHARS:
-                missing = set(words)
             self._learn(missing)
-        return words
+        written, read, out = self.written, self.read, []
+        for text, chunks in zip(texts, cut, strict=True):
+            try:
+                out.append((",".join([written[c] for c in chunks]), b"".join([read[c] for c in chunks])))
+            except TypeError:  # white space of more than one blank: the whole text is split at once
+                words = self.split(text)
+                ids_of = self._ids_of(set(words))
+                ids = [i for w in words for i in ids_of[w]]
+                out.append((",".join(map(str, ids)), self.decode(ids)))
+        return out
 
     def encode_written(self, text: str) -> tuple[str, bytes]:
-        """Decimal ids joined by commas, and the bytes that they decode to."""
-        words = self._known(text)
-        written, read = self.written, self.read
-        return ",".join([written[w] for w in words]), b"".join([read[w] for w in words])
+        return self.encode_all([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in s.split(",")] if (s := self.encode_written(text)[0]) else []
@@ -128,7 +150,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> Dat
         codec = Codec(*shared.value)
 
         def work(texts):
-            both = [codec.encode_written(t or "") for t in texts]
+            both = [x for at in range(0, len(texts), TEXTS) for x in codec.encode_all([t or "" for t in texts[at : at + TEXTS]])]
             out = [[w.count(",") + 1 if w else 0 for w, _ in both], [hashlib.sha256(w.encode()).hexdigest() for w, _ in both], [hashlib.sha256(b).hexdigest() for _, b in both]]
             return [*out, [np.fromstring(w, dtype=np.int32, sep=",") for w, _ in both]] if ids else out
 
