@@ -160,7 +160,7 @@ def identify(docs: DataFrame, scratch: Scratch, carry: bool = False) -> DataFram
     2 ** -bits. Null texts and texts without a letter are ``und`` with score 0, and so
     is every text when nothing can be learned. A null doc_id is neither held out nor
     learned from; repeated rows are predicted alike; an empty table gives no rows.
-    With ``carry`` the whole input row comes along as the struct ``_row``.
+    With ``carry`` text comes along, and the other columns as the struct ``_row``.
     """
     spark = docs.sparkSession
     train = docs.where(~split_flag(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
@@ -189,11 +189,11 @@ def identify(docs: DataFrame, scratch: Scratch, carry: bool = False) -> DataFram
 
         return work
 
-    flagged = docs.select("doc_id", F.coalesce(split_flag(F.col("doc_id")), F.lit(False)).alias("held_out"), "text", *([F.struct(*docs.columns).alias("_row")] if carry else []))
-    return map_texts(flagged, make, [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double")])
+    flagged = docs.select("doc_id", F.coalesce(split_flag(F.col("doc_id")), F.lit(False)).alias("held_out"), "text", *([F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")] if carry else []))
+    return map_texts(flagged, make, [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double")], drop=not carry)
 
 
 def keep_identified(docs: DataFrame, scratch: Scratch, least_score: float = 0.5) -> DataFrame:
     """The documents in their columns with lang as predicted, without those that are ``und`` or predicted below ``least_score``."""
     done = identify(docs, scratch, carry=True).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
-    return done.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"_row.`{c}`") for c in docs.columns])
+    return done.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])

@@ -478,6 +478,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
 
         return lambda texts: [[clean(t) for t in texts]]
 
-    rows = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    rows = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
     done = map_texts(rows, make, [("_text", pa.string(), "string")])
     return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
