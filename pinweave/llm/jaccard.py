@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinweave.llm.rows import map_texts
+from pinweave.llm.rows import map_texts, release
 from pinweave.llm.tiles import each_tile, spans_of, tile
 from pinweave.operators.components import connected_components
 from pinweave.runtime import Scratch, broadcast_if_small
@@ -164,6 +164,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             over_b = sb - np.bitwise_count(maps[1] & ~maps[0]).sum(axis=1, dtype=np.int64)
             # an overlap o links when den * o >= num * (sa + sb - o)
             yield pdf.loc[(den + num) * np.minimum(over_a, over_b) >= num * (sa + sb), ["a", "b"]]
+        release()
 
     side = lambda k: sets.select(F.col("node").alias(k), F.col("size").alias("s" + k), F.col("bits").alias("m" + k))
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
@@ -181,6 +182,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scrat
                 at[at == len(y)] = 0
                 keep[i] = (den + num) * int((y[at] == x).sum()) >= num * (len(x) + len(y))
             yield pdf.loc[keep, ["a", "b"]]
+        release()
 
     firsts = pairs.select(F.col("a").alias("node")).distinct()
     sets = scratch.keep(_elements(_texts_of(docs, firsts.union(pairs.select(F.col("b").alias("node"))).distinct()), n), "sets")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pinweave.llm.rows import map_texts
 from pinweave.runtime import Scratch, broadcast_if_small
 
-SYMBOLS = 48  # the most frequent folded bytes of the training sample, and one for the rest
+SYMBOLS = 40  # the most frequent folded bytes of the training sample, and one for the rest
 ORDER = 3  # bytes of context at most
 SAMPLE_DOCS = 3000  # expected training documents for each language
 PIECE = 1 << 18  # bytes scored at once

@@ -298,7 +298,7 @@ def test_code_lengths_equal_plain_ppm():
 
     for _ in range(300):
         g = tuple(int(x) for x in rng.integers(0, 6, size=4))
-        code = ((g[0] * 48 + g[1]) * 48 + g[2]) * 48 + g[3]
+        code = ((g[0] * langid.SYMBOLS + g[1]) * langid.SYMBOLS + g[2]) * langid.SYMBOLS + g[3]
         assert bits[code] == pytest.approx(cost(g[:3], g[3]))
 
 
