@@ -221,7 +221,7 @@ def _open_pairs(open_: DataFrame, total: int, num: int, den: int, few: int | Non
         return out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, spans = spans_of(pdf.drop_duplicates([*keys, "node"]), keys, "node")
+        pdf, spans = spans_of(pdf.drop_duplicates([*keys, "node", "size", "bits"]), keys, "node")
         maps = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(-1, WORDS)
         size, node, comp, block, i, j = (pdf[c].to_numpy() for c in ("size", "node", "component", "_b", "_i", "_j"))
         out = [x for s, e in spans for x in one(maps[s:e], size[s:e], node[s:e], comp[s:e], block[s:e], i[s] == j[s])]
@@ -262,8 +262,9 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEALT_SHINGLES))
     spread = firsts.select(F.col("doc_id").alias("node"), F.explode("parts").alias("sig")).repartition(tasks, "sig")
-    shared = spread.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low < high").drop("high")
-    tiles = scratch.keep(spread.join(shared, "sig"), "tiles")
+    shared = spread.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("high")
+    # one row for each node, as repeated rows of a doc_id would cancel in the tiles' names below
+    tiles = scratch.keep(spread.join(shared, "sig").select("sig", "node", "low").distinct(), "tiles")
     scratch.drop(wide)
     del wide, firsts, spread, shared  # lets Spark clean up their shuffles
 
