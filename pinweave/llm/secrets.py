@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 from operator import length_hint
@@ -21,7 +22,8 @@ class Rule:
 
     A shorter match, or one of fewer than ``total`` bytes in all, is consumed and
     dropped. Matches are leftmost, longest and do not overlap within a rule. ``least``
-    is counted in the automaton's states, ``total`` on the spans that it finds.
+    is counted in the automaton's states, ``total`` on the spans that it finds. What
+    the expression ``tail`` matches right behind a match belongs to its span.
     """
 
     kind: str
@@ -30,8 +32,17 @@ class Rule:
     least: int
     fold: bool = False  # letters of the head in either case
     total: int = 0
+    tail: str = ""
 
 
+# What follows a private key's first line: all up to its END line; where that is cut off, header lines and lines of base64.
+_GAP = r"""(?:\\[nrt]|[\s"'+,>#*\\])"""
+KEY_BODY = (
+    r"[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:{_GAP}*+[A-Za-z-]++: [^\r\n\\]*+)*+(?:{_GAP}++[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++"
+    rf"""(?:{_GAP}++[A-Za-z0-9+/]++={{0,2}}+(?=[\r\n"'\\]|\Z))?"""
+)
+
 # The rules of the base contract.
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]", 6, fold=True),
@@ -43,7 +54,7 @@ MORE_RULES = (
     Rule("live", "[sr]k_live_", "[A-Za-z0-9]", 1, total=24),
     Rule("chat", "xox[abprs]-", "[A-Za-z0-9-]", 1, total=25),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.", "[A-Za-z0-9_-]", 1, total=40),
-    Rule("pem", "-----BEGIN ([A-Z]+ )?PRIVATE KEY----", "[-]", 1),
+    Rule("pem", "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY( BLOCK)?----", "[-]", 1, tail=KEY_BODY),
 )
 
 
@@ -383,10 +394,15 @@ class Automaton:
             if v == KEPT:
                 start = self._start(r, data, end, last[r])
                 if end - start >= self.rules[r].total:
-                    spans.append((start, r, end))
+                    spans.append((start, r, self._stop(r, data, end)))
             last[r] = end
         return sorted(spans)
 
+    def _stop(self, r: int, data: bytes, end: int) -> int:
+        tail = self.rules[r].tail
+        more = re.compile(tail.encode()).match(data, end) if tail else None
+        return more.end() if more else end
+
     def _start(self, r: int, data: bytes, end: int, floor: int) -> int:
         if self.backward[r] is None:
             run = _run_bytes(self.rules[r].run)

@@ -2,7 +2,7 @@
 
 import random
 
-from pinweave.llm import jaccard
+from pinweave.llm import jaccard, secrets
 
 
 def test_repeated_rows_do_not_hide_tiles(spark, scratch):
@@ -22,3 +22,20 @@ def test_repeated_rows_do_not_hide_tiles(spark, scratch):
     docs = spark.createDataFrame(rows * 2, "doc_id long, text string")
     got = jaccard.join_components(docs, scratch).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, i - (i % 8 == 7)) for i, _ in rows * 2)
+
+
+def test_whole_private_keys_are_redacted(spark):
+    line, last = "MIIEpAIBAAKCAQEAx7" + "Qz9+/aB" * 6 + "abcd", "q3Zk9w=="
+    body = "\n".join([line] * 3 + [last])
+    keys = [
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 2\n\n{body}\n=abcd\n-----END PGP PRIVATE KEY BLOCK-----",
+        f"-----BEGIN PRIVATE KEY-----\\n{line}\\n{line}\\n-----END PRIVATE KEY-----",
+        f"-----BEGIN EC PRIVATE KEY-----\n{body}",
+    ]
+    rows = [(i, f"é before {k}\nafter all") for i, k in enumerate(keys)] + [(9, "-----BEGIN PRIVATE KEY----- is a first line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert got == {i: "é before [secret]\nafter all" for i in range(4)} | {9: "[secret] is a first line"}
+    kinds = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("pem")] for r in secrets.scan(docs).collect()}
+    assert all(kinds[i] == [f"pem:9:{9 + len(k)}"] for i, k in enumerate(keys))
