@@ -20,10 +20,10 @@ FREQUENT = 3072  # the most frequent words of the corpus; the rest share the oth
 REACH = 2  # words on either side
 DIM = 32
 ROUNDS = 3
-MASK_EVERY = 7  # a training pass masks one word of so many, in every document
 BATCH = 1024
 RATE = 0.15
 CHUNK = 1 << 15
+HELD = 64 * BATCH  # training words that are shuffled together
 MERGE = 64
 REMEMBER = 500_000
 SEED = 77
@@ -185,36 +185,37 @@ def frequent_words(docs: DataFrame) -> list[str]:
     return [r.word for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()]
 
 
-def _train_round(docs: DataFrame, shared, first: int) -> DataFrame:
-    """Each partition trains its own copy of the weights on one masked word in MASK_EVERY of each text: part, n, weights."""
+def _train_round(docs: DataFrame, shared) -> DataFrame:
+    """Each partition trains its own copy of the weights on every word of each text, masked in turn: part, n, weights."""
 
     def run(batches):
         from pyspark import TaskContext
 
         flat, frequent = shared.value
         net, coder, held, total = Network(unflatten(flat)), Coder(frequent), [], 0
-        around = np.array(_offsets())
+        rng, waiting = np.random.default_rng(SEED), 0
 
         def step(least):
-            nonlocal held
+            nonlocal held, waiting
             rows = np.concatenate(held) if held else np.empty((0, 2 * REACH + 1), dtype=np.int32)
-            at = 0
+            rows, at = rows[rng.permutation(len(rows))], 0  # neighbouring words are alike
             while len(rows) - at >= least:
                 part = rows[at : at + BATCH]
                 net.train(part[:, 1:], part[:, 0])
                 at += len(part)
             held = [rows[at:]] if at < len(rows) else []
+            waiting = len(rows) - at
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 ids = coder(text)
-                pick = np.arange((first + len(ids)) % MASK_EVERY, len(ids), MASK_EVERY)
-                if len(pick):
-                    padded = np.concatenate([np.full(REACH, VOCABULARY, np.int32), ids, np.full(REACH, VOCABULARY, np.int32)])
-                    held.append(np.column_stack([ids[pick], *[padded[pick + REACH + o] for o in around]]))
-                    total += len(pick)
-                if len(held) > 256:
-                    step(BATCH)
+                padded = np.concatenate([np.full(REACH, VOCABULARY, np.int32), ids, np.full(REACH, VOCABULARY, np.int32)])
+                for at in range(0, len(ids), HELD):
+                    m = min(HELD, len(ids) - at)
+                    held.append(np.column_stack([ids[at : at + m], *[padded[at + REACH + o : at + REACH + o + m] for o in _offsets()]]))
+                    total, waiting = total + m, waiting + m
+                    if waiting >= HELD:
+                        step(BATCH)
         step(1)
         if total:
             weights = flatten(net.w).astype(np.float32) * np.float32(1)
@@ -246,9 +247,10 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     The vocabulary is the corpus's most frequent words; the others share ids by hash.
     A network sees REACH words on either side of a masked word and predicts it through
-    a two-level softmax. It trains on all documents: in each of ROUNDS rounds every
-    partition takes its third of the documents (by hash of doc_id), masks one word in
-    MASK_EVERY, and the partitions' weights are averaged by words seen. The frozen
+    a two-level softmax. It trains once on every word of every document: in each of
+    ROUNDS rounds every partition takes its third of the documents (by hash of doc_id),
+    masks each of their words in turn, and the partitions' weights are averaged by
+    words seen. The frozen
     network then predicts every word of every text from both sides.
 
     Returns doc_id, n_tokens, log_prob (natural, summed) and mean_log_prob. Null or
@@ -262,7 +264,7 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast((flat, frequent))
         slice_ = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == r)
-        mean = _merge(_train_round(slice_, shared, r), scratch)
+        mean = _merge(_train_round(slice_, shared), scratch)
         flat = flat if mean is None else mean
     shared = spark.sparkContext.broadcast((flat, frequent))
 

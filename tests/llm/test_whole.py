@@ -2,7 +2,7 @@
 
 import random
 
-from pinweave.llm import jaccard, secrets
+from pinweave.llm import jaccard, lm, secrets
 
 
 def test_repeated_rows_do_not_hide_tiles(spark, scratch):
@@ -39,3 +39,17 @@ def test_whole_private_keys_are_redacted(spark):
     assert got == {i: "é before [secret]\nafter all" for i in range(4)} | {9: "[secret] is a first line"}
     kinds = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("pem")] for r in secrets.scan(docs).collect()}
     assert all(kinds[i] == [f"pem:9:{9 + len(k)}"] for i, k in enumerate(keys))
+
+
+def test_model_trains_on_every_word(spark, scratch, monkeypatch):
+    texts = ["one", "two words", None, "", " ".join(f"w{i}" for i in range(500))] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, merge = [], lm._merge
+
+    def count(trained, scratch):
+        seen.append(sum(r["n"] for r in trained.select("n").collect()))
+        return merge(trained, scratch)
+
+    monkeypatch.setattr(lm, "_merge", count)
+    got = lm.score(docs, scratch).collect()
+    assert sum(seen) == sum(r["n_tokens"] for r in got) == 3 * 503
