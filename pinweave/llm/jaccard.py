@@ -17,12 +17,15 @@ from pinweave.llm.tiles import each_tile, spans_of, tile
 from pinweave.operators.components import connected_components
 from pinweave.runtime import Scratch, broadcast_if_small
 
-BITS = 1024
-WORDS = BITS // 64
+BITS_EACH = 8  # bits of a bitmap for each element, rounded up to a power of two
+LEAST_BITS = 512
 VOCABULARY = 200_000  # word hashes that a worker remembers
-TILE_ROWS = 4096
+SEEN = 200_000  # names of sets that a worker remembers, so as to write the parts of copies once
+NAME = (1 << 48) - 1  # part and set names in shuffles have 48 bits; a chance meeting costs a comparison
+TILE_ROWS = 4096  # rows of a block of a hot tile
+TILE_SHINGLES = 2_000_000  # and its shingles
+BATCH_SHINGLES = 4_000_000  # shingles behind the tiles of one task
 DEALT_SHINGLES = 3_000_000  # shingles behind the part names that one task of the tile join gets
-FEW = 8  # partners of a document in another component that the first pass over open tiles verifies
 MAX_BROADCAST_IDS = 1_000_000
 U = np.uint64
 _HASHES: dict[bytes, int] = {}
@@ -103,30 +106,77 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(h % U(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+    """The set hashed to bits, at least BITS_EACH for each element."""
+    size = max(LEAST_BITS, 1 << (BITS_EACH * len(h) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(h & U(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def folded(maps: list[bytes] | np.ndarray) -> np.ndarray:
+    """Bitmaps of several lengths as rows of the least length: halves are laid over each other, which keeps every element's bit."""
+    sizes = np.fromiter(map(len, maps), dtype=np.int64, count=len(maps))
+    least = int(sizes.min()) // 8
+    out = np.empty((len(sizes), least), dtype=np.uint64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        rows = np.frombuffer(b"".join([maps[i] for i in at]), dtype=np.uint64).reshape(len(at), -1, least)
+        out[at] = np.bitwise_or.reduce(rows, axis=1)
+    return out
 
 
-def overlap_bound(maps: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int) -> np.ndarray:
+def overlap_bound(maps: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     """Upper bounds on the overlap of one set with many: each bit of one side only stands for an element that the other lacks."""
     lone = size - np.bitwise_count(one & ~maps).sum(axis=1, dtype=np.int64)
     many = sizes - np.bitwise_count(maps & ~one).sum(axis=1, dtype=np.int64)
     return np.minimum(lone, many)
 
 
-def _digest(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, size of the set, its 128-bit name and its part names."""
+def _name(h: np.ndarray) -> np.ndarray:
+    """128-bit name of a set, as two longs."""
+    return np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype=np.int64)
+
+
+def _digest(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, size of the set and its 128-bit name."""
 
     def make():
         def work(texts):
             sets = [shingles(t, n) for t in texts]
-            names = [np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype=np.int64).tolist() if len(h) else (None, None) for h in sets]
-            return [[len(h) for h in sets], [x for x, _ in names], [y for _, y in names], [signatures(h, num, den).view(np.int64) if len(h) else None for h in sets]]
+            names = [_name(h).tolist() if len(h) else (None, None) for h in sets]
+            return [[len(h) for h in sets], [x for x, _ in names], [y for _, y in names]]
 
         return work
 
-    return map_texts(docs.select("doc_id", "text"), make, [("n_shingles", pa.int64(), "long"), ("h1", pa.int64(), "long"), ("h2", pa.int64(), "long"), ("parts", pa.list_(pa.int64()), "array<long>")])
+    return map_texts(docs.select("doc_id", "text"), make, [("n_shingles", pa.int64(), "long"), ("h1", pa.int64(), "long"), ("h2", pa.int64(), "long")])
+
+
+def _parts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Names of parts and of the sets that have them: sig, h. A set that a task meets again is written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            sigs, sets, many = [], [], 0
+            for text in batch.column("text").to_pylist():
+                h = shingles(text, n)
+                name = int(_name(h)[0]) & NAME if len(h) else None
+                if name is None or name in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(name)
+                sigs.append((signatures(h, num, den) & U(NAME)).view(np.int64))
+                sets.append(np.full(len(sigs[-1]), name, dtype=np.int64))
+                many += len(sigs[-1])
+                if many >= 1 << 17:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sets))], names=["sig", "h"])
+                    sigs, sets, many = [], [], 0
+            if many:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sets))], names=["sig", "h"])
+        release()
+
+    return docs.select("text").mapInArrow(run, "sig long, h long")
 
 
 def _bits(texts: DataFrame, n: int) -> DataFrame:
@@ -153,17 +203,23 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(broadcast_if_small(ids.withColumnRenamed("node", "doc_id"), MAX_BROADCAST_IDS), "doc_id", "left_semi")
 
 
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets have Jaccard of at least num/den, by their exact intersection."""
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    # an overlap o links when den * o >= num * (sizes - o)
+    return (den + num) * int((y[at] == x).sum()) >= num * (len(x) + len(y))
+
+
 def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of ``(a, b)`` those whose bitmaps allow a link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            maps = [np.frombuffer(b"".join(pdf[c]), dtype=np.uint64).reshape(-1, WORDS) for c in ("ma", "mb")]
-            sa, sb = pdf["sa"].to_numpy(), pdf["sb"].to_numpy()
-            over_a = sa - np.bitwise_count(maps[0] & ~maps[1]).sum(axis=1, dtype=np.int64)
-            over_b = sb - np.bitwise_count(maps[1] & ~maps[0]).sum(axis=1, dtype=np.int64)
-            # an overlap o links when den * o >= num * (sa + sb - o)
-            yield pdf.loc[(den + num) * np.minimum(over_a, over_b) >= num * (sa + sb), ["a", "b"]]
+            for _, part in pdf.groupby([pdf["ma"].map(len), pdf["mb"].map(len)]):
+                maps, n = folded([*part["ma"], *part["mb"]]), len(part)
+                sa, sb = part["sa"].to_numpy(), part["sb"].to_numpy()
+                yield part.loc[(den + num) * overlap_bound(maps[n:], sb, maps[:n], sa) >= num * (sa + sb), ["a", "b"]]
         release()
 
     side = lambda k: sets.select(F.col("node").alias(k), F.col("size").alias("s" + k), F.col("bits").alias("m" + k))
@@ -175,13 +231,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scrat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = np.zeros(len(pdf), dtype=bool)
-            for i, (ea, eb) in enumerate(zip(pdf["ea"], pdf["eb"], strict=True)):
-                x, y = np.frombuffer(ea, dtype=np.uint64), np.frombuffer(eb, dtype=np.uint64)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                keep[i] = (den + num) * int((y[at] == x).sum()) >= num * (len(x) + len(y))
-            yield pdf.loc[keep, ["a", "b"]]
+            keep = [linked(np.frombuffer(ea, dtype=np.uint64), np.frombuffer(eb, dtype=np.uint64), num, den) for ea, eb in zip(pdf["ea"], pdf["eb"], strict=True)]
+            yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
         release()
 
     firsts = pairs.select(F.col("a").alias("node")).distinct()
@@ -194,41 +245,78 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scrat
     return out
 
 
-def _open_pairs(open_: DataFrame, total: int, num: int, den: int, few: int | None) -> DataFrame:
-    """Pairs across components within each tile whose bitmaps allow a link, ``few`` for each document and other component."""
-    keys = ["sig", "_i", "_j"]
-
-    def one(maps, size, node, comp, block, within):
-        names, comp = np.unique(comp, return_inverse=True)
-        largest, out = np.bincount(comp).argmax(), []
-        for i in np.flatnonzero(comp != largest):
-            ok = (comp != comp[i]) & ((comp == largest) | (node > node[i]))
-            if not within:
-                ok &= block != block[i]
-            js = np.flatnonzero(ok)
-            js = js[(den * np.minimum(size[js], size[i]) >= num * np.maximum(size[js], size[i]))]
-            if not len(js):
-                continue
-            bound = overlap_bound(maps[js], size[js], maps[i], size[i])
-            fit = (den + num) * bound >= num * (size[js] + size[i])
-            js, bound = js[fit], bound[fit]
-            if few is not None and len(js) > few:
-                order = np.lexsort((node[js], -bound))
-                rank = pd.Series(comp[js][order]).groupby(comp[js][order]).cumcount().to_numpy()
-                js = js[order][rank < few]
-            if len(js):
-                out.append((np.minimum(node[i], node[js]), np.maximum(node[i], node[js])))
-        return out
+TILE = ["sig", "_i", "_j"]
+
+
+def _partners(maps: np.ndarray, size: np.ndarray, comp: np.ndarray, block: np.ndarray, within: bool, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a tile outside its largest component, each with the rows of other components that its bitmap allows, the best bound first.
+
+    A pair comes up once: with the largest component from the other side, else from the earlier row.
+    """
+    largest = np.bincount(comp).argmax()
+    order = np.arange(len(comp))
+    for i in np.flatnonzero(comp != largest):
+        ok = (comp != comp[i]) & ((comp == largest) | (order > i))
+        if not within:
+            ok &= block != block[i]
+        ok &= den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i])
+        js = np.flatnonzero(ok)
+        if not len(js):
+            continue
+        bound = overlap_bound(maps[js], size[js], maps[i], size[i])
+        fit = (den + num) * bound >= num * (size[js] + size[i])
+        if fit.any():
+            yield i, js[fit][np.argsort(-bound[fit], kind="stable")]
+
+
+def _open_rows(open_: DataFrame, batches: int, num: int, den: int) -> DataFrame:
+    """The rows of open tiles that some row of another component may link with, by their bitmaps."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, spans = spans_of(pdf.drop_duplicates([*keys, "node", "size", "bits"]), keys, "node")
-        maps = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(-1, WORDS)
+        pdf, spans = spans_of(pdf, TILE, "node")
+        size, comp, block, i, j = (pdf[c].to_numpy() for c in ("size", "component", "_b", "_i", "_j"))
+        bits, hit = pdf["bits"].to_numpy(), np.zeros(len(pdf), dtype=bool)
+        for s, e in spans:
+            names = np.unique(comp[s:e], return_inverse=True)[1]
+            if names.any():
+                for x, js in _partners(folded(bits[s:e]), size[s:e], names, block[s:e], i[s] == j[s], num, den):
+                    hit[s + x] = True
+                    hit[s + js] = True
+        return pdf.loc[hit, [*TILE, "_b", "node", "size", "component"]]
+
+    return each_tile(open_, TILE, batches, run, "sig long, _i int, _j int, _b int, node long, size long, component long")
+
+
+def _close(rows: DataFrame, batches: int, num: int, den: int) -> DataFrame:
+    """Links that join the components of each tile, as few as that takes: bitmaps first, then sorted arrays."""
+
+    def one(sets, size, node, comp, block, within):
+        root = list(range(int(comp.max()) + 1))
+
+        def top(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        maps = folded([bitmap(x).tobytes() for x in sets])
+        for i, js in _partners(maps, size, comp, block, within, num, den):
+            for j in js:
+                a, b = top(comp[i]), top(comp[j])
+                if a != b and linked(sets[i], sets[j], num, den):
+                    root[max(a, b)] = min(a, b)
+                    yield min(node[i], node[j]), max(node[i], node[j])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, spans = spans_of(pdf, TILE, "node")
         size, node, comp, block, i, j = (pdf[c].to_numpy() for c in ("size", "node", "component", "_b", "_i", "_j"))
-        out = [x for s, e in spans for x in one(maps[s:e], size[s:e], node[s:e], comp[s:e], block[s:e], i[s] == j[s])]
-        a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+        sets, out = [np.frombuffer(x, dtype=np.uint64) for x in pdf["elements"]], []
+        for s, e in spans:
+            names = np.unique(comp[s:e], return_inverse=True)[1]
+            out += one(sets[s:e], size[s:e], node[s:e], names, block[s:e], i[s] == j[s])
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return each_tile(open_, keys, total, run, "a long, b long").distinct()
+    return each_tile(rows, TILE, batches, run, "a long, b long")
 
 
 def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -239,11 +327,13 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     Documents with equal sets form a class, named by its least doc_id. Classes are
     placed in bands of near size, and each set is cut by hash range into so many parts
     that two linked sets of a band must agree in one that both name; classes that share
-    a part make a tile. In each tile all are first compared with the least class. While
-    the others of a tile (tiles of the same classes are taken once) still lie in
-    several components, pairs across them whose hashed bitmaps allow the overlap are
-    verified: first the ``FEW`` best of each document and component, then all that are left, so no link that would join components is missed and no group is written
-    out as all its pairs. Tiles of over ``TILE_ROWS`` rows are dealt as pairs of blocks.
+    a part make a tile. In each tile all are first compared with the least class. Tiles
+    (those of the same classes once) whose others still lie in several components are
+    closed within their task: pairs across components whose hashed bitmaps allow the
+    overlap are verified by their sorted arrays, until none is left or the tile is one
+    component. So no link that would join components is missed, and what a tile hands
+    on is never more than its rows. Tiles of over ``TILE_ROWS`` rows or
+    ``TILE_SHINGLES`` shingles are dealt as pairs of blocks.
 
     Returns doc_id, n_shingles, component_id (the least doc_id reachable). Texts that
     are null or have no word have size 0 and link with nothing. Rows of one doc_id are
@@ -251,48 +341,45 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     table gives no rows; further columns change nothing.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wide = scratch.keep(_digest(docs, words, num, den), "digest")
-    rows = scratch.keep(wide.drop("parts"), "names")
+    rows = scratch.keep(_digest(docs, words), "names")
+    docs = docs.where("doc_id IS NOT NULL")
     key = ["n_shingles", "h1", "h2"]
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = scratch.keep(named.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     same = named.join(classes.where("copies > 1"), key).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a < b")
-    firsts = wide.join(classes.withColumnRenamed("node", "doc_id").drop("copies"), [*key, "doc_id"], "left_semi")
     # one exchange serves the counting and both sides of the join, as all have the same number of partitions
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEALT_SHINGLES))
-    spread = firsts.select(F.col("doc_id").alias("node"), F.explode("parts").alias("sig")).repartition(tasks, "sig")
-    shared = spread.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("high")
-    # one row for each node, as repeated rows of a doc_id would cancel in the tiles' names below
-    tiles = scratch.keep(spread.join(shared, "sig").select("sig", "node", "low").distinct(), "tiles")
-    scratch.drop(wide)
-    del wide, firsts, spread, shared  # lets Spark clean up their shuffles
-
-    docs = docs.where("doc_id IS NOT NULL")
-    involved = scratch.keep(tiles.select("node").distinct(), "involved")
+    spread = _parts(docs, words, num, den).repartition(tasks, "sig")
+    shared = spread.groupBy("sig").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("sig")
+    met = scratch.keep(spread.join(shared, "sig").distinct(), "met")
+    del spread, shared  # lets Spark clean up their shuffles
+    members = met.join(classes.select(F.col("h1").bitwiseAND(NAME).alias("h"), "node", F.col("n_shingles").alias("size")), "h").select("sig", "node", "size")
+    lows = members.groupBy("sig").agg(F.min("node").alias("low"))
+    tiles = scratch.keep(members.join(lows, "sig").where("node > low"), "tiles")
+    scratch.drop(met)
+
+    involved = scratch.keep(tiles.select("node").union(tiles.select("low")).distinct(), "involved")
     sets = scratch.keep(_bits(_texts_of(docs, involved), words), "bits")
-    stars = tiles.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    stars = tiles.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     links = _verify(scratch.keep(_bounded(stars, sets, num, den), "near"), docs, words, num, den, scratch)
-    rest = tiles.where("node > low").select("sig", "node")
-    who = rest.groupBy("sig").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).where("rows > 1")
-    once = who.groupBy("rows", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "rows")
-    once = scratch.keep(once, "once")
-    rest = scratch.keep(rest.join(once, "sig"), "rest")
-    tried = None
-    for few in (FEW, None):
-        comp = connected_components(links, scratch)
-        labelled = rest.join(comp, rest["node"] == comp["node"], "left").select("sig", rest["node"].alias("node"), "rows", F.coalesce("component", rest["node"]).alias("component"))
-        split = labelled.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("sig")
-        split = scratch.keep(split.join(once, "sig"), "open")
-        total = split.agg(F.sum(F.col("rows") * F.ceil(F.col("rows") / TILE_ROWS))).first()[0]
-        if not total:
-            break
-        open_ = labelled.join(split.select("sig"), "sig").join(sets.select("node", "size", "bits"), "node")
-        pairs = _open_pairs(tile(open_, F.col("rows"), F.col("node"), TILE_ROWS), total, num, den, few)
-        pairs = tried = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        links = scratch.keep(links.union(_verify(pairs, docs, words, num, den, scratch)), "links")
+
+    who = tiles.groupBy("sig").agg(F.count("*").alias("rows"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).where("rows > 1")
+    once = who.groupBy("rows", "x1", "x2").agg(F.min("sig").alias("sig"), F.first("weight").alias("weight")).select("sig", "rows", "weight")
+    comp = connected_components(links, scratch)
+    labelled = tiles.join(once, "sig").join(comp, "node", "left").select("sig", "node", "size", "rows", "weight", F.coalesce("component", "node").alias("component"))
+    labelled = scratch.keep(labelled, "labelled")
+    split = labelled.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("sig")
+    open_ = scratch.keep(labelled.join(split, "sig"), "open")
+    blocks = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("weight") / TILE_SHINGLES))
+    shingles_in = lambda df: df.agg(F.sum(F.col("size") * blocks)).first()[0] or 0
+    if load := shingles_in(open_):
+        dealt = tile(open_.join(sets.select("node", "bits"), "node"), blocks, F.col("node")).drop("rows", "weight")
+        hit = scratch.keep(_open_rows(dealt, -(-load // BATCH_SHINGLES), num, den), "hit")
+        if load := hit.agg(F.sum("size")).first()[0]:
+            exact = scratch.keep(_elements(_texts_of(docs, hit.select("node").distinct()), words), "exact")
+            links = links.union(scratch.keep(_close(hit.join(exact, "node"), -(-load // BATCH_SHINGLES), num, den), "links"))
+            scratch.drop(exact)
     scratch.drop(sets, tiles)
     comp = connected_components(same.union(links), scratch)
     out = rows.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -15,6 +15,7 @@ TABLES = 5  # 8 at most
 CELLS = 3  # lattice points a vector is filed under in a table: its own and the nearest others
 SCALE = 0.56  # lattice unit for unit vectors
 TILE_ROWS = 4096
+BATCH_ROWS = 8192  # rows of tiles in one task
 SEED = 20240229
 BLOCK = 256
 
@@ -101,7 +102,7 @@ def _named(classes: DataFrame) -> DataFrame:
     return classes.mapInPandas(run, "node long, label long, copies long, dim int, vector binary, cells array<long>")
 
 
-def _links(tiles: DataFrame, total: int, cosine: float) -> DataFrame:
+def _links(tiles: DataFrame, batches: int, cosine: float) -> DataFrame:
     """Within each tile: how many vectors each class links with, counted only where two classes first meet, and links that span the tile's components."""
 
     keys = ["cell", "label", "dim", "_i", "_j"]
@@ -155,7 +156,7 @@ def _links(tiles: DataFrame, total: int, cosine: float) -> DataFrame:
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, dtype=np.int64)] * 3
         return pd.DataFrame(dict(zip(("node", "linked", "top"), cols, strict=True)))
 
-    return each_tile(tiles, keys, total, run, "node long, linked long, top long")
+    return each_tile(tiles, keys, batches, run, "node long, linked long, top long")
 
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = 0.93) -> DataFrame:
@@ -189,7 +190,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = 0.93)
     full = filed.groupBy(*cell).agg(F.count("*").alias("rows")).where("rows > 1")
     full = scratch.keep(full, "cells")
     total = full.agg(F.sum(F.col("rows") * F.ceil(F.col("rows") / TILE_ROWS))).first()[0] or 0
-    found = scratch.keep(_links(tile(filed.join(full, cell), F.col("rows"), F.col("node"), TILE_ROWS), total, cosine), "found")
+    found = scratch.keep(_links(tile(filed.join(full, cell), F.ceil(F.col("rows") / TILE_ROWS), F.col("node")), -(-total // BATCH_ROWS), cosine), "found")
     scratch.drop(named)
     member = scratch.keep(good.join(classes.select(*key, "node", "copies"), key).select("vec_id", "node", "copies"), "members")
     links = found.select(F.col("top").alias("a"), F.col("node").alias("b")).union(member.where("node < vec_id").select(F.col("node").alias("a"), F.col("vec_id").alias("b")))

@@ -119,8 +119,9 @@ def brute_components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("words,num", [(3, 90), (5, 80)])
-def test_jaccard_equals_brute_force(spark, scratch, words, num):
+@pytest.mark.parametrize("words,num,tile_rows", [(3, 90, 4096), (5, 80, 4096), (3, 90, 8), (5, 80, 4)])
+def test_jaccard_equals_brute_force(spark, scratch, monkeypatch, words, num, tile_rows):
+    monkeypatch.setattr(jaccard, "TILE_ROWS", tile_rows)
     rnd = random.Random(words)
     vocab = [f"w{i}" for i in range(400)]
     texts = []
@@ -162,7 +163,8 @@ def test_linked_sets_share_a_named_part():
         if 100 * both >= num * (len(a) + len(b) - both):
             assert len(np.intersect1d(jaccard.signatures(a, num, 100), jaccard.signatures(b, num, 100)))
         size_a, size_b = np.array([len(a)]), len(b)
-        assert jaccard.overlap_bound(jaccard.bitmap(a)[None, :], size_a, jaccard.bitmap(b), size_b)[0] >= both
+        maps = jaccard.folded([jaccard.bitmap(a).tobytes(), jaccard.bitmap(b).tobytes()])
+        assert jaccard.overlap_bound(maps[:1], size_a, maps[1], size_b)[0] >= both
 
 
 # vectors
