@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,23 +14,12 @@ from pyspark.sql import functions as F
 from pinweave.llm.rows import map_texts
 from pinweave.runtime import Scratch, broadcast_if_small
 
-SYMBOLS = 40  # the most frequent folded bytes of the training sample, and one for the rest
-ORDER = 3  # bytes of context at most
+ORDER = 3  # bytes of context at most; a context and its symbol fill 32 bits
 SAMPLE_DOCS = 3000  # expected training documents for each language
 PIECE = 1 << 18  # bytes scored at once
-SPACE = 32
+PAD = b" " * ORDER
 LETTER = regex.compile(r"\p{L}")
-
-_FOLD = bytearray(range(256))
-for _b in range(256):
-    if 65 <= _b <= 90:
-        _FOLD[_b] = _b + 32
-    elif _b in b"\t\n\x0b\x0c\r":
-        _FOLD[_b] = SPACE
-    elif 48 <= _b <= 57:
-        _FOLD[_b] = 48
-FOLD = bytes(_FOLD)
-_MADE: dict[str, tuple[bytes, np.ndarray]] = {}
+U = np.uint32
 
 
 def split_flag(doc_id):
@@ -39,112 +27,128 @@ def split_flag(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def _windows(coded: np.ndarray) -> np.ndarray:
-    """The code of each context of ORDER symbols with the symbol that follows it."""
-    code = coded[: len(coded) - ORDER].astype(np.int32)
-    for k in range(1, ORDER + 1):
-        code *= SYMBOLS
-        code += coded[k : len(coded) - ORDER + k]
-    return code
-
+def folded(text: str) -> bytes:
+    """The bytes that are coded: UTF-8 with A-Z as a-z, all else as it is."""
+    return text.encode("utf-8", "surrogatepass").lower()
 
-def _alphabet(sample: DataFrame) -> bytes:
-    """Byte to symbol: folded bytes by their summed share over the languages, most frequent first from 1; the rest are 0."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lang, part in pdf.groupby("lang"):
-                n = sum((np.bincount(np.frombuffer(t.encode().translate(FOLD), dtype=np.uint8), minlength=256) for t in part["text"]), np.zeros(256, dtype=np.int64))
-                yield pd.DataFrame({"lang": lang, "b": np.flatnonzero(n), "n": n[np.flatnonzero(n)]})
-
-    rows = sample.mapInPandas(count, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n"))
-    share = rows.join(broadcast_if_small(rows.groupBy("lang").agg(F.sum("n").alias("all")), 10_000), "lang").groupBy("b").agg(F.sum(F.col("n") / F.col("all")).alias("s")).collect()
-    best = sorted(share, key=lambda r: (-r.s, r.b))[: SYMBOLS - 1]
-    table = bytearray(256)
-    for rank, r in enumerate(best):
-        table[r.b] = rank + 1
-    return FOLD.translate(bytes(table))
+def windows(data: bytes) -> np.ndarray:
+    """The code of each context of ORDER bytes with the byte that follows it."""
+    x = np.frombuffer(data, dtype=np.uint8)
+    code = x[: len(x) - ORDER].astype(U)
+    for k in range(1, ORDER + 1):
+        code <<= U(8)
+        code |= x[k : len(x) - ORDER + k]
+    return code
 
 
-def _contexts(sample: DataFrame, to_symbol: bytes) -> DataFrame:
-    """Counts of context and symbol by language: lang, code, n."""
-    pad = bytes([to_symbol[SPACE]]) * ORDER
+def _grams(sample: DataFrame) -> DataFrame:
+    """Counts of context and byte by language: lang, code, n."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
                 for at in range(0, len(part), 200):
-                    code = [_windows(np.frombuffer(pad + t.encode().translate(to_symbol), dtype=np.uint8)) for t in part["text"].iloc[at : at + 200]]
-                    code, n = np.unique(np.concatenate(code), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "code": code, "n": n})
+                    code, n = np.unique(np.concatenate([windows(PAD + folded(t)) for t in part["text"].iloc[at : at + 200]]), return_counts=True)
+                    yield pd.DataFrame({"lang": lang, "code": code.astype(np.int64), "n": n})
 
-    return sample.mapInPandas(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return sample.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def code_lengths(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits of every symbol after every context under one language's tree.
+class Trees:
+    """The languages' byte context trees, frozen and side by side.
 
-    The longest context that occurred predicts; a symbol new to it costs the escape
-    (distinct over total plus distinct) and is predicted by the next shorter context,
-    down to the uniform distribution.
+    For each order k there are the contexts with their following byte that occurred in
+    any language (``grams``, sorted codes of k + 1 bytes) with the full code length of
+    that byte in every language (``bits``), and the contexts (``known``) with the cost
+    of escaping from each (``escape``; nothing in a language that never saw it). The
+    longest context that occurred predicts; a byte new to it costs the escape (distinct
+    over total plus distinct) and is predicted by the next shorter one, down to 1 in 256.
     """
-    full = np.zeros(SYMBOLS ** (ORDER + 1), dtype=np.int32)
-    full[codes] = counts
-    levels = [full.reshape(-1, SYMBOLS)]
-    while levels[-1].shape[0] > 1:
-        levels.append(levels[-1].reshape(SYMBOLS, -1, SYMBOLS).sum(axis=0, dtype=np.int32))
-    bits = np.full((1, SYMBOLS), np.log2(SYMBOLS))
-    for n in reversed(levels):
-        out = np.empty(n.shape, dtype=np.float32 if n is levels[0] else np.float64)
-        for first in range(0, len(n), len(bits)):  # the contexts that share a longest known suffix lie one block apart
-            part = n[first : first + len(bits)]
-            distinct = (part > 0).sum(axis=1, keepdims=True)
-            total = part.sum(axis=1, keepdims=True) + distinct
-            with np.errstate(divide="ignore"):
-                own = np.log2(total) - np.where(part > 0, np.log2(np.maximum(part, 1)), np.log2(np.maximum(distinct, 1)) - bits)
-            out[first : first + len(bits)] = np.where(distinct > 0, own, bits)
-        bits = out
-    return bits.ravel()
-
-
-def _table(token: str, model) -> np.ndarray:
-    """Code lengths by context and language; built once in each worker process."""
-    if token not in _MADE:
-        _MADE.clear()
-        table = np.empty((SYMBOLS ** (ORDER + 1), len(model)), dtype=np.float32)
-        for k, (codes, counts) in enumerate(model):
-            table[:, k] = code_lengths(codes, counts)
-        _MADE[token] = table
-    return _MADE[token]
-
-
-def total_bits(texts: list[bytes], to_symbol: bytes, table: np.ndarray) -> np.ndarray:
-    """Code length of each text in each language; every byte counts."""
-    pad = bytes([to_symbol[SPACE]]) * ORDER
-    out = np.zeros((len(texts), table.shape[1]))
-    held, size, at = [], 0, []
-
-    def flush():
-        nonlocal held, size, at
-        if at:
-            bits = table[_windows(np.frombuffer(b"".join(held), dtype=np.uint8))]
-            bits = np.concatenate([bits, np.zeros((ORDER + 1, table.shape[1]), dtype=np.float32)])
-            edges = np.array([e for _, s, n in at for e in (s, s + n)])
-            sums = np.add.reduceat(bits, edges, axis=0, dtype=np.float64)[::2]
-            np.add.at(out, [i for i, _, _ in at], sums)
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.size, self.levels = len(counts), []
+        for k in range(ORDER + 1):
+            own = []
+            for codes, n in counts:
+                gram, at = np.unique(codes.astype(U) & self._mask(k), return_inverse=True)
+                own.append((gram, np.bincount(at, weights=n, minlength=len(gram))))
+            grams = np.unique(np.concatenate([g for g, _ in own])) if own else np.empty(0, dtype=U)
+            known, at = np.unique(self._context(grams), return_inverse=True)
+            bits, escape = np.empty((len(grams), self.size)), np.zeros((len(known), self.size))
+            for j, (gram, n) in enumerate(own):
+                count = np.zeros(len(grams))
+                count[np.searchsorted(grams, gram)] = n
+                distinct = np.bincount(at, weights=count > 0, minlength=len(known))
+                total = np.bincount(at, weights=count, minlength=len(known)) + distinct
+                seen = distinct > 0
+                escape[seen, j] = np.log2(total[seen] / distinct[seen])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    bits[:, j] = np.where(count > 0, np.log2(total[at]) - np.log2(count), np.inf)
+            lower = self.code_lengths(grams, k - 1)
+            bits = np.where(np.isfinite(bits), bits, escape[at] + lower)
+            self.levels.append((grams, bits.astype(np.float32), known, escape.astype(np.float32)))
+
+    @staticmethod
+    def _mask(k: int) -> np.uint32:
+        return U((1 << 8 * (k + 1)) - 1)
+
+    @staticmethod
+    def _context(grams: np.ndarray) -> np.ndarray:
+        return grams >> U(8)
+
+    def code_lengths(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Bits of each code's last byte after the bytes before it, by language."""
+        out = np.zeros((len(codes), self.size), dtype=np.float32)
+        todo = slice(None)  # rows not predicted yet
+        for k in range(order, -1, -1):
+            grams, bits, known, escape = self.levels[k]
+            cur = codes[todo] & self._mask(k)
+            if not len(grams) or not len(cur):
+                continue
+            at = np.minimum(np.searchsorted(grams, cur), len(grams) - 1)
+            hit = grams[at] == cur
+            if isinstance(todo, slice):
+                np.take(bits, at, axis=0, out=out)
+                todo = np.flatnonzero(~hit)
+                out[todo] = 0
+            else:
+                out[todo[hit]] += bits[at[hit]]
+                todo = todo[~hit]
+            if not len(todo):
+                return out
+            context = self._context(cur[~hit])
+            at = np.minimum(np.searchsorted(known, context), len(known) - 1)
+            out[todo] += np.where((known[at] == context)[:, None], escape[at], np.float32(0))
+        out[todo] += 8
+        return out
+
+    def total_bits(self, texts: list[bytes]) -> np.ndarray:
+        """Code length of each text in each language; every byte counts."""
+        out = np.zeros((len(texts), self.size))
         held, size, at = [], 0, []
 
-    for i, text in enumerate(texts):
-        coded = pad + text.translate(to_symbol)
-        for first in range(0, len(text), PIECE):
-            part = coded[first : first + PIECE + ORDER]
-            at.append((i, size, len(part) - ORDER))
-            held.append(part)
-            size += len(part)
-            if size >= PIECE:
-                flush()
-    flush()
-    return out
+        def flush():
+            nonlocal held, size, at
+            if at:
+                bits = self.code_lengths(windows(b"".join(held)))
+                bits = np.concatenate([bits, np.zeros((ORDER + 1, self.size), dtype=np.float32)])
+                edges = np.array([e for _, s, n in at for e in (s, s + n)])
+                sums = np.add.reduceat(bits, edges, axis=0, dtype=np.float64)[::2]
+                np.add.at(out, [i for i, _, _ in at], sums)
+            held, size, at = [], 0, []
+
+        for i, text in enumerate(texts):
+            coded = PAD + text
+            for first in range(0, len(text), PIECE):
+                part = coded[first : first + PIECE + ORDER]
+                at.append((i, size, len(part) - ORDER))
+                held.append(part)
+                size += len(part)
+                if size >= PIECE:
+                    flush()
+        flush()
+        return out
 
 
 def identify(docs: DataFrame, scratch: Scratch, carry: bool = False) -> DataFrame:
@@ -153,8 +157,9 @@ def identify(docs: DataFrame, scratch: Scratch, carry: bool = False) -> DataFram
     Trains on text and lang of rows outside the held-out quarter (crc32 of the
     doc_id's digits mod 4 is not 2) whose lang is known: a sample by hash of doc_id of
     SAMPLE_DOCS expected documents for each language, all of them where there are
-    fewer. Each language's byte context tree of depth ORDER is then frozen, and a text
-    goes to the language with the shortest code (ties: the first by name).
+    fewer, which bounds the counts that the driver gets. Each language's byte context
+    tree of depth ORDER is then frozen, and a text goes to the language with the
+    shortest code (ties: the first by name).
 
     Returns doc_id, held_out, lang_pred and score, the share of the winner among
     2 ** -bits. Null texts and texts without a letter are ``und`` with score 0, and so
@@ -167,21 +172,17 @@ def identify(docs: DataFrame, scratch: Scratch, carry: bool = False) -> DataFram
     rate = train.groupBy("lang").agg((F.lit(float(SAMPLE_DOCS)) / F.count("*")).alias("rate"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = scratch.keep(train.join(broadcast_if_small(rate, 10_000), "lang").where(draw < F.col("rate")).select("lang", "text"), "sample")
-    to_symbol = _alphabet(sample)
-    model: dict[str, tuple] = {}
-    rows = _contexts(sample, to_symbol).toPandas()
-    for lang, part in rows.groupby("lang"):
-        model[lang] = (part["code"].to_numpy(np.int32), part["n"].to_numpy(np.int64))
+    rows = dict(list(_grams(sample).toPandas().groupby("lang")))
     scratch.drop(sample)
-    names = sorted(model)
-    shared, token = spark.sparkContext.broadcast([model[k] for k in names]), uuid.uuid4().hex
+    names = sorted(rows)
+    shared = spark.sparkContext.broadcast(Trees([(rows[k]["code"].to_numpy(), rows[k]["n"].to_numpy()) for k in names]))
 
     def make():
         def work(texts):
             known = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
             if known:
-                bits = total_bits([texts[i].encode("utf-8", "surrogatepass") for i in known], to_symbol, _table(token, shared.value))
+                bits = shared.value.total_bits([folded(texts[i]) for i in known])
                 sure = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                 for i, k, s in zip(known, bits.argmin(axis=1).tolist(), sure.tolist(), strict=True):
                     pred[i], score[i] = names[k], s
