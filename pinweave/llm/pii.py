@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hmac
 import math
+import string
 import unicodedata
 from functools import lru_cache
 
@@ -16,8 +17,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pinweave.llm.rows import map_texts
 from pinweave.runtime import Scratch
 
-ATTEMPTS = 12
-MAX_EXCEPTIONS = 1_000_000
+SAME_LENGTH = 6  # attempts at a surrogate of the value's own length; each further one adds a character
+MAX_BROADCAST_CHARS = 32_000_000  # characters of edits that are sent to all executors; beyond it they are joined by a shuffle
 FEISTEL_ROUNDS = 8
 
 # Given names by gender, and the titles that tell a gender and announce a name.
@@ -29,13 +30,21 @@ TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Sir": "m", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f",
     "Señor": "m", "Señora": "f", "Señorita": "f", "Sr": "m", "Sra": "f", "Don": "m", "Doña": "f", "Господин": "m", "Госпожа": "f",
 }
-GENDERED = {**dict.fromkeys(FEMALE + FEMALE_CYRILLIC, "f"), **dict.fromkeys(MALE + MALE_CYRILLIC, "m")}
-
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-])?@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}"
+GIVEN = {("f", "LATIN"): FEMALE, ("m", "LATIN"): MALE, ("f", "CYRILLIC"): FEMALE_CYRILLIC, ("m", "CYRILLIC"): MALE_CYRILLIC}
+GENDERED = {name: gender for (gender, _), names in GIVEN.items() for name in names}
+# The usual letters of a script within its block; letters elsewhere are replaced within their block of 256.
+RANGES = ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xFF), (0x100, 0x17F), (0x391, 0x3A9), (0x3B1, 0x3C9), (0x400, 0x40F), (0x410, 0x42F), (0x430, 0x44F), (0x450, 0x45F))
+
+_TITLE = rf"(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})"
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]|['’]\p{Lu})[\p{L}\p{M}]*(?:['’]\p{Lu}[\p{L}\p{M}]*)*(?![\p{L}\p{N}@_])"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}._%+-]*[\p{L}\p{M}\p{N}_%+-])?@(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]*[\p{L}\p{M}\p{N}])?\.)+\p{L}[\p{L}\p{M}]+"
 NUMBER = r"(?<![\p{L}\p{N}_])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d(?:[ .-]?\d){2,18}(?![\p{L}\p{N}_])"
-NAME = rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ ]\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}@_])){{0,2}}"
+NAME = rf"\b{_TITLE}\b\.?[ ](?:\p{{Lu}}\.[ ]?){{0,2}}(?!{_TITLE}\b){_WORD}(?:[ -](?!{_TITLE}\b){_WORD}){{0,2}}"
+# What a text must have for any of them, for Java's expressions: an at sign, a title before a capital, seven digits or four numbers with dots.
+_OTHER = r"[^\x00-\x7F]"
+MAY = rf"@|{_TITLE}\.? (?:[A-Z]|{_OTHER})|(?:[0-9]|{_OTHER})(?:[ .()+-]{{0,2}}(?:[0-9]|{_OTHER})){{6}}|[0-9]\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]"
 PATTERNS = {"EMAIL": regex.compile(EMAIL), "NUMBER": regex.compile(NUMBER), "NAME": regex.compile(NAME)}
-IPV4 = regex.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)")
+IPV4 = regex.compile(r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])")
 IP_SPAN = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.-]){IPV4.pattern}(?!\.?[\p{{L}}\p{{N}}_])")
 LOCAL_PHONE = regex.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}")
 SSN = regex.compile(r"\d{3}-\d{2}-\d{4}")
@@ -53,7 +62,7 @@ def luhn(digits: str) -> int:
 
 def number_type(s: str) -> str | None:
     """SSN, CARD (13 to 19 digits, bare or in groups) or PHONE (7 to 15 digits that begin with + or a bracket, or stand as 3, 3 and 4)."""
-    digits = "".join(c for c in s if c.isdigit())
+    digits = "".join(c for c in s if c.isdecimal())
     if SSN.fullmatch(s):
         return "SSN"
     if 13 <= len(digits) <= 19 and "." not in s and s[0] not in "+(" and (luhn(digits) == 0 or len(digits) == 16):
@@ -86,7 +95,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 at += len(piece) + 1
     for m in PATTERNS["NAME"].finditer(text):
         title, _, name = m[0].partition(" ")
-        gender = TITLES[title.rstrip(".")] or GENDERED.get(name.partition(" ")[0], "")
+        gender = TITLES[title.rstrip(".")] or GENDERED.get(regex.split("[ -]", name)[0], "")
         out.append((m.end() - len(name), m.end(), "NAME", gender))
     out.sort(key=lambda e: (e[0], -e[1]))
     kept, end = [], 0
@@ -102,23 +111,27 @@ def canonical(kind: str, value: str) -> str:
     if kind == "EMAIL":
         return value.lower()
     if kind in ("CARD", "PHONE", "SSN"):
-        return "".join(c for c in value if c.isdigit())
+        return "".join(str(unicodedata.digit(c)) for c in value if c.isdecimal())
     return value
 
 
-@lru_cache(maxsize=None)
-def _alphabet(group: str) -> str:
-    low, high = {"latin": (0x61, 0x7A), "cyrillic": (0x430, 0x44F), "greek": (0x3B1, 0x3C9), "accented": (0xE0, 0xFE)}[group]
-    return "".join(chr(c) for c in range(low, high + 1) if unicodedata.category(chr(c)) == "Ll" and len(chr(c).upper()) == 1 and chr(c) not in "ςþð")
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").partition(" ")[0]
 
 
-def _letters(c: str) -> str | None:
-    """The lower-case alphabet that a letter is replaced from: its own script's."""
-    low = c.lower()
-    for group in ("latin", "cyrillic", "greek", "accented"):
-        if low in _alphabet(group):
-            return _alphabet(group)
-    return None
+@lru_cache(maxsize=100_000)
+def alphabet(c: str) -> str:
+    """What a letter or digit is replaced from: those of its script and category in its range or block; none for other characters."""
+    kind = unicodedata.category(c)
+    if kind[0] not in "LN":
+        return ""
+    low, high = next((r for r in RANGES if r[0] <= ord(c) <= r[1]), (ord(c) & ~255, ord(c) | 255))
+    own, script = map(chr, range(low, high + 1)), _script(c)
+    out = "".join(x for x in own if unicodedata.category(x) == kind and (kind == "Nd" and unicodedata.decimal(x) >= 0 or _script(x) == script))
+    if kind == "Nd":  # the ten of one set
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    return out if len(out) > 1 else string.ascii_lowercase
 
 
 def _prf(key: bytes, *parts) -> int:
@@ -140,51 +153,55 @@ def permute(key: bytes, tweak: str, x: int, size: int) -> int:
             return x
 
 
-def _respell(key: bytes, tweak: str, value: str, fixed: int = 0) -> str:
-    """Replace letters and digits in place by a permutation of all strings of the same shape; the last ``fixed`` characters stay."""
-    body, tail = (value[:-fixed], value[-fixed:]) if fixed else (value, "")
-    spots = [(i, "0123456789" if c.isdigit() and c.isascii() else _letters(c)) for i, c in enumerate(body)]
-    spots = [(i, a) for i, a in spots if a]
-    x, size = 0, 1
-    for i, alphabet in spots:
-        x = x * len(alphabet) + alphabet.index(body[i].lower())
-        size *= len(alphabet)
-    x = permute(key, f"{tweak}|{len(spots)}", x, size)
-    out = list(body)
-    for i, alphabet in reversed(spots):
-        x, k = divmod(x, len(alphabet))
-        out[i] = alphabet[k].upper() if body[i].isupper() else alphabet[k]
-    return "".join(out) + tail
+def _respell(key: bytes, tweak: str, value: str, choice: int = 0, choices: int = 1) -> tuple[str, int]:
+    """Replace letters and digits in place by a permutation of all strings of the same shape, together with one of ``choices``."""
+    spots = [(i, a) for i, c in enumerate(value) if (a := alphabet(c))]
+    x, size = 0, choices
+    for i, a in spots:
+        x = x * len(a) + max(a.find(value[i]), 0)
+        size *= len(a)
+    x = permute(key, f"{tweak}|{len(spots)}", x * choices + choice, size)
+    x, choice = divmod(x, choices)
+    out = list(value)
+    for i, a in reversed(spots):
+        x, k = divmod(x, len(a))
+        out[i] = a[k]
+    return "".join(out), choice
 
 
 def _name(key: bytes, tweak: str, value: str, gender: str) -> str:
-    """A given name of the same gender and script where the first word is one, the other words respelt in their own script."""
-    words = regex.split(r"([ -])", value)
-    cyrillic = bool(regex.match(r"\p{Cyrillic}", value))
-    given = {"f": FEMALE_CYRILLIC if cyrillic else FEMALE, "m": MALE_CYRILLIC if cyrillic else MALE}.get(gender)
-    out = []
-    for k, w in enumerate(words):
-        if k == 0 and given and len(words) > 1:
-            out.append(given[_prf(key, tweak, "given", value) % len(given)])
-        elif k % 2:
-            out.append(w)
-        else:
-            out.append(_respell(key, f"{tweak}|{k}", w))
-    return "".join(out)
+    """A given name of the same gender and script where the first word is one, all else respelt in its own script.
+
+    The given name and the rest are permuted as one, so that bearers of one surname stay apart.
+    """
+    first = regex.match("[^ -]+", value)[0]
+    names = GIVEN.get((gender, _script(first[0])), ())
+    if names and "." not in first and (first in names or len(first) < len(value)):
+        own = names.index(first) if first in names else _prf(key, tweak, "given", first) % len(names)
+        rest, own = _respell(key, tweak, value[len(first) :], own, len(names))
+        return names[own] + rest
+    return _respell(key, tweak, value)[0]
 
 
 def surrogate(key: bytes, kind: str, value: str, gender: str = "", attempt: int = 0) -> str:
-    """The replacement of a canonical value: same type, shape, script and, for names, gender."""
-    tweak = f"{kind}|{attempt}"
+    """The replacement of a canonical value: same type, shape, script and, for names, gender.
+
+    From attempt SAME_LENGTH on it is longer by one character for each attempt, so the
+    values to choose from never run out (an IP address keeps its four numbers).
+    """
+    tweak, more = f"{kind}|{attempt}", max(0, attempt - SAME_LENGTH + 1)
+    draw = lambda a: "".join(a[_prf(key, tweak, "more", value, i) % len(a)] for i in range(more))
     if kind == "EMAIL":
-        return _respell(key, tweak, value, fixed=len(value) - value.rindex("."))
+        dot, at = value.rindex("."), value.index("@")
+        new = _respell(key, tweak, value[:dot])[0]
+        return new[:at] + draw(string.ascii_lowercase) + new[at:] + value[dot:]
     if kind == "IP":
         x = permute(key, tweak, int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32)
         return ".".join(map(str, x.to_bytes(4, "big")))
     if kind == "NAME":
-        return _name(key, tweak, value, gender)
+        return _name(key, tweak, value, gender) + draw(alphabet(value[-1]) or string.ascii_lowercase)
     n = len(value) - (kind == "CARD")
-    x = str(permute(key, f"{tweak}|{n}", int(value[:n]), 10**n)).zfill(n)
+    x = str(permute(key, f"{tweak}|{n}", int(value[:n]), 10**n)).zfill(n) + draw(string.digits)
     if kind != "CARD":
         return x
     off = luhn(value)  # the check digit keeps its distance from a valid one
@@ -192,28 +209,43 @@ def surrogate(key: bytes, kind: str, value: str, gender: str = "", attempt: int
 
 
 def in_form(kind: str, written: str, new: str) -> str:
-    """A canonical surrogate written as the mention was: marks within numbers, capitals in addresses."""
+    """A canonical surrogate written as the mention was: marks within numbers, its own script's digits, capitals in addresses."""
     if kind == "EMAIL":
-        return "".join(n.upper() if o.isupper() else n for o, n in zip(written, new, strict=True)) if len(new) == len(written) else new
+        if len(new) != len(written):
+            return new
+        return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(written, new, strict=True))
     if kind in ("CARD", "PHONE", "SSN"):
-        digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in written)
+        digits, out, zero = iter(new), [], 48
+        for c in written:
+            if c.isdecimal():
+                zero = ord(c) - unicodedata.decimal(c)
+                c = chr(zero + int(next(digits)))
+            out.append(c)
+        return "".join([*out, *[chr(zero + int(d)) for d in digits]])
     return new
 
 
-def _entities(docs: DataFrame) -> DataFrame:
-    """Distinct entities of all texts: kind, value, gender (a known one before none)."""
+def replaced(text: str, edits: list[tuple[str, int, int, str]]) -> str:
+    """The text with each (kind, start, end, surrogate) written in its mention's form."""
+    out, at = [], 0
+    for kind, s, e, new in sorted(edits, key=lambda x: x[1]):
+        out += [text[at:s], in_form(kind, text[s:e], new)]
+        at = e
+    return "".join([*out, text[at:]])
+
+
+def _mentions(texts: DataFrame) -> DataFrame:
+    """Mentions of each text that has any: k1, k2, found (kind, start, end, canonical value, gender)."""
 
     def make():
         def work(texts):
-            seen = [[(k, canonical(k, t[s:e]), g) for s, e, k, g in find(t)] if t else [] for t in texts]
-            return [[[{"kind": k, "value": v, "gender": g} for k, v, g in dict.fromkeys(x)] for x in seen]]
+            return [[[{"kind": k, "s": s, "e": e, "value": canonical(k, t[s:e]), "gender": g} for s, e, k, g in find(t)] for t in texts]]
 
         return work
 
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("gender", pa.string())]))
-    found = map_texts(docs.select("text"), make, [("found", kind, "array<struct<kind:string,value:string,gender:string>>")])
-    return found.select(F.explode("found").alias("x")).select("x.*").groupBy("kind", "value").agg(F.max("gender").alias("gender"))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("value", pa.string()), ("gender", pa.string())]))
+    found = map_texts(texts, make, [("found", kind, "array<struct<kind:string,s:int,e:int,value:string,gender:string>>")])
+    return found.where(F.size("found") > 0)
 
 
 def _assign(rows: DataFrame, key: bytes) -> DataFrame:
@@ -233,16 +265,19 @@ def settle(entities: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
 
     Permutations keep values of one shape apart; what still meets (names of few
     spellings, a surrogate that someone bears) is tried again with the next attempt,
-    all but the first by value, until nothing meets.
+    all but the first by value, until nothing meets. Later attempts are longer, so they
+    end.
     """
     cur = scratch.keep(_assign(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
     real = entities.select("kind", F.col("value").alias("new"), F.lit(True).alias("borne"))
-    for attempt in range(1, ATTEMPTS):
+    attempt = 0
+    while True:
+        attempt += 1
         least = cur.groupBy("kind", "new").agg(F.min("value").alias("owner"), F.count("*").alias("n"))
         clash = least.join(real, ["kind", "new"], "left").where("n > 1 OR borne").select("kind", "new", F.when(F.col("borne").isNull(), F.col("owner")).alias("owner"))
         clash = scratch.keep(clash, "clash")
         if clash.isEmpty():
-            break
+            return cur
         marked = cur.join(clash.withColumn("hit", F.lit(True)), ["kind", "new"], "left")
         again = F.coalesce(F.col("hit"), F.lit(False)) & (F.col("owner").isNull() | (F.col("owner") != F.col("value")))
         stay = marked.where(~again).select(*cur.columns)
@@ -250,9 +285,6 @@ def settle(entities: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
         nxt = scratch.keep(stay.unionByName(_assign(move, key)), "surrogates")
         scratch.drop(cur, clash)
         cur = nxt
-    else:
-        raise RuntimeError("surrogates still collide: the space of a shape is too small")
-    return cur
 
 
 def pseudonymise(docs: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
@@ -260,61 +292,42 @@ def pseudonymise(docs: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
 
     A mention gets the surrogate of its entity, so mentions of one entity keep
     agreeing across the corpus and different entities stay different. The surrogate
-    is a keyed permutation of all values of the same shape and script, written in the
-    mention's own format. Surrogates are checked over the whole corpus against each
-    other and against real entities; the few that collide are settled by further
-    attempts, and only those travel to the executors as a table (up to
-    ``MAX_EXCEPTIONS`` by broadcast, more by a join on the documents' entities).
+    is a keyed permutation of all values of the same shape, letter by letter within
+    its script and case, written in the mention's own format and digits; a given name
+    becomes one of the same gender. Surrogates are checked over the whole corpus
+    against each other and against real entities; those that collide are settled by
+    further attempts. Texts are searched once: their mentions, by two hashes of the
+    text, meet their surrogates and come back to the texts as edits, by broadcast up
+    to ``MAX_BROADCAST_CHARS`` and else by a join of the texts that may have any
+    (``MAY``, a test that every text with a mention passes).
 
     Returns doc_id, text, n_entities and entities (``kind:start:end`` in code points of
     the original, comma joined). Null texts stay null with 0 entities; texts without
     entities come back unchanged; null doc_ids and repeated rows are treated like any
     other; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    entities = scratch.keep(_entities(docs), "entities")
-    settled = settle(entities, key, scratch)
-    # a name's gender can differ from what a single mention shows, so those travel too
-    extra = settled.where("attempt > 0 OR (kind = 'NAME' AND gender <> '')").select("kind", "value", "new")
-    fields = [("new_text", pa.string(), "string"), ("n_entities", pa.int64(), "long"), ("entities", pa.string(), "string")]
+    may = F.coalesce(F.col("text").rlike(MAY), F.lit(False))
+    rows = docs.select("doc_id", "text")
+    keyed = rows.where(may).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
+    found = scratch.keep(_mentions(keyed.select("k1", "k2", "text")).dropDuplicates(["k1", "k2"]), "mentions")
+    each = found.select("k1", "k2", F.explode("found").alias("x")).select("k1", "k2", "x.*")
+    settled = settle(scratch.keep(each.groupBy("kind", "value").agg(F.max("gender").alias("gender")), "entities"), key, scratch)
+    edits = each.join(settled.select("kind", "value", "new"), ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "s", "e", "new")).alias("edits"))
+    edits = scratch.keep(edits, "edits")
+    chars = edits.agg(F.sum(F.aggregate("edits", F.lit(0).cast("long"), lambda n, x: n + 16 + F.length(x["new"])))).first()[0] or 0
+    both = keyed.join(F.broadcast(edits) if chars <= MAX_BROADCAST_CHARS else edits, ["k1", "k2"], "left")
+
+    def make():
+        def work(both):
+            out = []
+            for b in both:
+                e = sorted((x["kind"], x["s"], x["e"], x["new"]) for x in b["edits"] or ())
+                out.append((replaced(b["text"], e), len(e), ",".join(f"{k}:{s}:{t}" for k, s, t, _ in sorted(e, key=lambda x: x[1]))))
+            return list(map(list, zip(*out, strict=True))) if out else [[], [], []]
+
+        return work
 
-    def rewrite(text, table):
-        if not text:
-            return text, 0, ""
-        out, at, spans = [], 0, find(text)
-        for s, e, kind, gender in spans:
-            value = canonical(kind, text[s:e])
-            new = table.get((kind, value)) or surrogate(key, kind, value, gender)
-            out += [text[at:s], in_form(kind, text[s:e], new)]
-            at = e
-        return "".join([*out, text[at:]]), len(spans), ",".join(f"{k}:{s}:{e}" for s, e, k, _ in spans)
-
-    if extra.limit(MAX_EXCEPTIONS + 1).count() <= MAX_EXCEPTIONS:
-        shared = spark.sparkContext.broadcast({(r.kind, r.value): r.new for r in extra.collect()})
-
-        def make():
-            return lambda texts: list(map(list, zip(*[rewrite(t, shared.value) for t in texts], strict=True))) if texts else [[], [], []]
-
-        out = map_texts(docs.select("doc_id", "text"), make, fields)
-    else:
-        rows = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text")).withColumn("_c", F.crc32(F.col("text").cast("binary")))
-        mine = rows.dropDuplicates(["_h", "_c"])
-
-        def tell():
-            return lambda texts: [[[{"kind": k, "value": canonical(k, t[s:e])} for s, e, k, _ in find(t)] if t else [] for t in texts]]
-
-        kv = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
-        said = map_texts(mine.select("_h", "_c", "text"), tell, [("x", kv, "array<struct<kind:string,value:string>>")])
-        said = said.select("_h", "_c", F.explode(F.array_distinct("x")).alias("x")).select("_h", "_c", "x.*").join(extra, ["kind", "value"])
-        said = said.groupBy("_h", "_c").agg(F.collect_list(F.struct("kind", "value", "new")).alias("own"))
-        joined = rows.join(said, ["_h", "_c"], "left").select("doc_id", F.struct("text", "own").alias("both"))
-
-        def make_own():
-            def work(both):
-                done = [rewrite(b["text"], {(o["kind"], o["value"]): o["new"] for o in b["own"] or ()}) for b in both]
-                return list(map(list, zip(*done, strict=True))) if done else [[], [], []]
-
-            return work
-
-        out = map_texts(joined, make_own, fields, column="both")
-    return out.select("doc_id", F.col("new_text").alias("text"), "n_entities", "entities")
+    fields = [("new_text", pa.string(), "string"), ("n_entities", pa.int64(), "long"), ("entities", pa.string(), "string")]
+    done = map_texts(both.select("doc_id", F.struct("text", "edits").alias("both")), make, fields, column="both")
+    rest = rows.where(~may).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entities"))
+    return rest.union(done.select("doc_id", F.col("new_text").alias("text"), "n_entities", "entities"))
