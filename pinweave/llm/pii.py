@@ -40,9 +40,6 @@ _WORD = r"\p{Lu}(?:[\p{L}\p{M}]|['’]\p{Lu})[\p{L}\p{M}]*(?:['’]\p{Lu}[\p{L}\
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}._%+-]*[\p{L}\p{M}\p{N}_%+-])?@(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]*[\p{L}\p{M}\p{N}])?\.)+\p{L}[\p{L}\p{M}]+"
 NUMBER = r"(?<![\p{L}\p{N}_])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d(?:[ .-]?\d){2,18}(?![\p{L}\p{N}_])"
 NAME = rf"\b{_TITLE}\b\.?[ ](?:\p{{Lu}}\.[ ]?){{0,2}}(?!{_TITLE}\b){_WORD}(?:[ -](?!{_TITLE}\b){_WORD}){{0,2}}"
-# What a text must have for any of them, for Java's expressions: an at sign, a title before a capital, seven digits or four numbers with dots.
-_OTHER = r"[^\x00-\x7F]"
-MAY = rf"@|{_TITLE}\.? (?:[A-Z]|{_OTHER})|(?:[0-9]|{_OTHER})(?:[ .()+-]{{0,2}}(?:[0-9]|{_OTHER})){{6}}|[0-9]\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]"
 PATTERNS = {"EMAIL": regex.compile(EMAIL), "NUMBER": regex.compile(NUMBER), "NAME": regex.compile(NAME)}
 IPV4 = regex.compile(r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])")
 IP_SPAN = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.-]){IPV4.pattern}(?!\.?[\p{{L}}\p{{N}}_])")
@@ -298,18 +295,16 @@ def pseudonymise(docs: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
     against each other and against real entities; those that collide are settled by
     further attempts. Texts are searched once: their mentions, by two hashes of the
     text, meet their surrogates and come back to the texts as edits, by broadcast up
-    to ``MAX_BROADCAST_CHARS`` and else by a join of the texts that may have any
-    (``MAY``, a test that every text with a mention passes).
+    to ``MAX_BROADCAST_CHARS`` and else by a shuffled join. Texts without any never
+    leave the JVM again.
 
     Returns doc_id, text, n_entities and entities (``kind:start:end`` in code points of
     the original, comma joined). Null texts stay null with 0 entities; texts without
     entities come back unchanged; null doc_ids and repeated rows are treated like any
     other; an empty table gives no rows.
     """
-    may = F.coalesce(F.col("text").rlike(MAY), F.lit(False))
-    rows = docs.select("doc_id", "text")
-    keyed = rows.where(may).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
-    found = scratch.keep(_mentions(keyed.select("k1", "k2", "text")).dropDuplicates(["k1", "k2"]), "mentions")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    found = scratch.keep(_mentions(keyed.where("text <> ''").select("k1", "k2", "text")).dropDuplicates(["k1", "k2"]), "mentions")
     each = found.select("k1", "k2", F.explode("found").alias("x")).select("k1", "k2", "x.*")
     settled = settle(scratch.keep(each.groupBy("kind", "value").agg(F.max("gender").alias("gender")), "entities"), key, scratch)
     edits = each.join(settled.select("kind", "value", "new"), ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "s", "e", "new")).alias("edits"))
@@ -321,13 +316,13 @@ def pseudonymise(docs: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
         def work(both):
             out = []
             for b in both:
-                e = sorted((x["kind"], x["s"], x["e"], x["new"]) for x in b["edits"] or ())
+                e = sorted((x["kind"], x["s"], x["e"], x["new"]) for x in b["edits"])
                 out.append((replaced(b["text"], e), len(e), ",".join(f"{k}:{s}:{t}" for k, s, t, _ in sorted(e, key=lambda x: x[1]))))
             return list(map(list, zip(*out, strict=True))) if out else [[], [], []]
 
         return work
 
     fields = [("new_text", pa.string(), "string"), ("n_entities", pa.int64(), "long"), ("entities", pa.string(), "string")]
-    done = map_texts(both.select("doc_id", F.struct("text", "edits").alias("both")), make, fields, column="both")
-    rest = rows.where(~may).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entities"))
+    done = map_texts(both.where("edits IS NOT NULL").select("doc_id", F.struct("text", "edits").alias("both")), make, fields, column="both")
+    rest = both.where("edits IS NULL").select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entities"))
     return rest.union(done.select("doc_id", F.col("new_text").alias("text"), "n_entities", "entities"))
