@@ -32,13 +32,13 @@ def folded(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def windows(data: bytes) -> np.ndarray:
-    """The code of each context of ORDER bytes with the byte that follows it."""
+def windows(data: bytes, order: int = ORDER) -> np.ndarray:
+    """The code of each context of ``order`` bytes with the byte that follows it."""
     x = np.frombuffer(data, dtype=np.uint8)
-    code = x[: len(x) - ORDER].astype(U)
-    for k in range(1, ORDER + 1):
+    code = x[: len(x) - order].astype(U)
+    for k in range(1, order + 1):
         code <<= U(8)
-        code |= x[k : len(x) - ORDER + k]
+        code |= x[k : len(x) - order + k]
     return code
 
 
@@ -66,9 +66,9 @@ class Trees:
     over total plus distinct) and is predicted by the next shorter one, down to 1 in 256.
     """
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER):
         self.size, self.levels = len(counts), []
-        for k in range(ORDER + 1):
+        for k in range(order + 1):
             own = []
             for codes, n in counts:
                 gram, at = np.unique(codes.astype(U) & self._mask(k), return_inverse=True)
@@ -97,8 +97,9 @@ class Trees:
     def _context(grams: np.ndarray) -> np.ndarray:
         return grams >> U(8)
 
-    def code_lengths(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
+    def code_lengths(self, codes: np.ndarray, order: int | None = None) -> np.ndarray:
         """Bits of each code's last byte after the bytes before it, by language."""
+        order = len(self.levels) - 1 if order is None else order
         out = np.zeros((len(codes), self.size), dtype=np.float32)
         todo = slice(None)  # rows not predicted yet
         for k in range(order, -1, -1):

@@ -4,38 +4,47 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinweave.llm.rows import map_texts
+from pinweave.llm.langid import Trees, windows
+from pinweave.llm.rows import map_texts, release
 from pinweave.runtime import Scratch
 
-CLASSES = 64
+CLASSES = 48
 MEMBERS = 64
-VOCABULARY = CLASSES * MEMBERS
-FREQUENT = 3072  # the most frequent words of the corpus; the rest share the other ids by hash
+RARE = CLASSES * MEMBERS - 1  # the id that is predicted for all words but the RARE most frequent ones
+HASHED = 1024  # ids of other words where they are context
+CONTEXTS = RARE + HASHED
+PAD = CONTEXTS  # beyond either end of a text
 REACH = 2  # words on either side
 DIM = 32
 ROUNDS = 3
-BATCH = 1024
+BATCH = 8192
 RATE = 0.15
-CHUNK = 1 << 15
-HELD = 64 * BATCH  # training words that are shuffled together
+CHUNK = 1 << 14
+HELD = 1 << 17  # training words that are shuffled together
+GROUP_WORDS = 1 << 21  # words from which one copy of the weights learns in a round, about
 MERGE = 64
-REMEMBER = 500_000
+REMEMBER = 300_000
+SPELL = 2  # bytes of context in the spelling of words
 SEED = 77
+LOGIT = 60.0
+OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 
 
 def initial() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
     normal = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    emb = normal(VOCABULARY + 1, DIM)
-    emb[VOCABULARY] = 0  # beyond either end of a text
+    emb = normal(CONTEXTS + 1, DIM)
+    emb[PAD] = 0
     zeros = lambda *shape: np.zeros(shape, dtype=np.float32)
-    return {"emb": emb, "mix": normal(2 * REACH * DIM, DIM), "bias": zeros(DIM), "cls": normal(DIM, CLASSES), "cls_bias": zeros(CLASSES), "mem": normal(CLASSES, DIM, MEMBERS), "mem_bias": zeros(CLASSES, MEMBERS)}
+    return {"emb": emb, "mix": normal(len(OFFSETS), DIM, DIM), "bias": zeros(DIM), "cls": normal(DIM, CLASSES), "cls_bias": zeros(CLASSES), "mem": normal(CLASSES, DIM, MEMBERS), "mem_bias": zeros(CLASSES, MEMBERS)}
 
 
 def flatten(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -43,8 +52,7 @@ def flatten(w: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def unflatten(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    shapes = initial()
+    out, at, shapes = {}, 0, initial()
     for k in sorted(shapes):
         n = shapes[k].size
         out[k] = flat[at : at + n].reshape(shapes[k].shape).astype(np.float32)
@@ -52,79 +60,104 @@ def unflatten(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-class Coder:
-    """Words to ids, with a bounded memory."""
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
-    def __init__(self, frequent: list[str]):
-        self.frequent = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(frequent)}
-        self.known = dict(self.frequent)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if len(self.known) > REMEMBER:
-            self.known = dict(self.frequent)
-        known = self.known
-        try:
-            return np.array([known[w] for w in words], dtype=np.int32)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = FREQUENT + zlib.crc32(w) % (VOCABULARY - FREQUENT)
-            return np.array([known[w] for w in words], dtype=np.int32)
+class Coder:
+    """Words to context ids and, with a spelling, to the log-probability of being that word among the rare ones; remembers a bounded number."""
+
+    def __init__(self, frequent: list[bytes], spelling: Trees | None = None):
+        self.frequent, self.spelling = frequent, spelling
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at = {w: i for i, w in enumerate(self.frequent)}
+        self.ids = np.arange(len(self.frequent), dtype=np.int32)
+        self.own = np.zeros(len(self.frequent))
+
+    def _learn(self, new: list[bytes]) -> None:
+        used, need = len(self.at), len(self.at) + len(new)
+        if need > len(self.ids):
+            grow = lambda x: np.concatenate([x[:used], np.empty(need + REMEMBER - used, dtype=x.dtype)])
+            self.ids, self.own = grow(self.ids), grow(self.own)
+        self.at |= dict(zip(new, range(used, need), strict=True))
+        self.ids[used:need] = [RARE + zlib.crc32(w) % HASHED for w in new]
+        self.own[used:need] = spelt(self.spelling, new) if self.spelling is not None else 0.0
+
+    def __call__(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """For each text the positions of its words in ``ids`` and ``own``, which hold until the next call."""
+        if len(self.at) > REMEMBER + len(self.frequent):
+            self._clear()
+        if new := {w for words in texts for w in words if w not in self.at}:
+            self._learn(sorted(new))
+        at = self.at
+        return [np.fromiter(map(at.__getitem__, words), dtype=np.int64, count=len(words)) for words in texts]
+
+
+def spelt(spelling: Trees, words: list[bytes]) -> np.ndarray:
+    """Natural log-probability of each word's bytes and its end, whatever words came before."""
+    if not words:
+        return np.empty(0)
+    pad = b" " * SPELL
+    bits = spelling.code_lengths(windows(pad + (b" " + pad).join(words) + b" ", SPELL))[:, 0]
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    start = np.cumsum(size + SPELL) - size - SPELL
+    sums = np.concatenate([[0.0], np.cumsum(bits, dtype=np.float64)])
+    return -np.log(2) * (sums[start + size] - sums[start])
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(cls, kind="stable")
+    return order, np.searchsorted(cls[order], np.arange(CLASSES + 1))
 
 
-def _offsets() -> list[int]:
-    return [o for o in range(-REACH, REACH + 1) if o]
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials in place, of logits held within what single precision can add up, and their sums by row."""
+    np.clip(z, -LOGIT, LOGIT, out=z)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], dtype=z.dtype)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _soft(z: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
+    z, sums = _exp(z)
+    z /= sums[:, None]
+    return z
 
 
 def _log_prob_of(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log-softmax of each row at y; z is overwritten."""
-    at = z[np.arange(len(y)), y].copy()
-    top = z.max(axis=1)
-    z -= top[:, None]
-    np.exp(z, out=z)
-    return at - top - np.log(z.sum(axis=1))
-
-
-def _by_class(cls: np.ndarray):
-    order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edge[c] < edge[c + 1]:
-            yield c, order[edge[c] : edge[c + 1]]
+    at = np.clip(z[np.arange(len(y)), y], -LOGIT, LOGIT)
+    return at - np.log(_exp(z)[1])
 
 
 class Network:
-    """Class-factored softmax over the vocabulary from the words around a masked one."""
+    """Class-factored softmax over the frequent words and RARE from the words around a masked one."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
         self.sq = {k: np.full_like(v, 1e-6) for k, v in weights.items()}
 
     def log_probs(self, ids: np.ndarray) -> np.ndarray:
-        """Log-probability of every word; ids holds REACH pads on both sides."""
+        """Log-probability of every word's target; ids holds REACH pads on both sides."""
         w, n = self.w, len(ids) - 2 * REACH
-        tables = [w["emb"] @ w["mix"][k * DIM : (k + 1) * DIM] for k in range(2 * REACH)]
+        tables = [w["emb"] @ m for m in w["mix"]]
         out = np.empty(n, dtype=np.float64)
         for at in range(0, n, CHUNK):
             m = min(CHUNK, n - at)
             h = np.repeat(w["bias"][None, :], m, axis=0)
-            for k, o in enumerate(_offsets()):
-                h += tables[k][ids[at + REACH + o : at + REACH + o + m]]
+            for t, o in zip(tables, OFFSETS, strict=True):
+                h += t[ids[at + REACH + o : at + REACH + o + m]]
             np.tanh(h, out=h)
             y = ids[at + REACH : at + REACH + m]
-            real = y < VOCABULARY
-            cls, mem = np.where(real, y // MEMBERS, 0), y % MEMBERS
+            real = y != PAD
+            y = np.minimum(y, RARE)
+            cls, mem = y // MEMBERS, y % MEMBERS
             z = h @ w["cls"]
             z += w["cls_bias"]
             lp = _log_prob_of(z, cls).astype(np.float64)
-            order = np.argsort(cls, kind="stable")
-            edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+            order, edge = _by_class(cls)
             h, inner, within = h[order], mem[order], np.empty(m)
             for c in range(CLASSES):
                 s, e = edge[c], edge[c + 1]
@@ -136,101 +169,145 @@ class Network:
             out[at : at + m] = np.where(real, lp, 0.0)
         return out
 
-    def _adjust(self, key: str, grad: np.ndarray, at=...) -> None:
-        self.sq[key][at] += grad * grad
-        self.w[key][at] -= RATE * grad / np.sqrt(self.sq[key][at])
+    def gradients(self, context: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Gradients of the mean negative log-probability of targets y; those of ``emb`` for the context ids that occur, which come first.
 
-    def train(self, context: np.ndarray, y: np.ndarray) -> None:
-        """One Adagrad step on the mean negative log-probability of y."""
+        Context vectors are mixed once for each distinct id, and gradients are summed
+        by id before they are multiplied out.
+        """
         w, n = self.w, len(y)
-        e = w["emb"][context].reshape(n, -1)
-        h = np.tanh(e @ w["mix"] + w["bias"])
+        seen, at = np.unique(context, return_inverse=True)
+        at, emb = at.reshape(context.shape), w["emb"][seen]
+        h = np.repeat(w["bias"][None, :], n, axis=0)
+        for k, m in enumerate(w["mix"]):
+            h += (emb @ m)[at[:, k]]
+        np.tanh(h, out=h)
         cls, mem = y // MEMBERS, y % MEMBERS
-        dz = np.exp(_log_softmax(h @ w["cls"] + w["cls_bias"]))
+        order, edge = _by_class(cls)
+        h, cls, mem, at = h[order], cls[order], mem[order], at[order]
+        dz = _soft(h @ w["cls"] + w["cls_bias"])
         dz[np.arange(n), cls] -= 1
         dz /= n
         dh = dz @ w["cls"].T
-        for c, idx in _by_class(cls):
-            dm = np.exp(_log_softmax(h[idx] @ w["mem"][c] + w["mem_bias"][c]))
-            dm[np.arange(len(idx)), mem[idx]] -= 1
-            dm /= n
-            dh[idx] += dm @ w["mem"][c].T
-            self._adjust("mem", h[idx].T @ dm, c)
-            self._adjust("mem_bias", dm.sum(axis=0), c)
-        self._adjust("cls", h.T @ dz)
-        self._adjust("cls_bias", dz.sum(axis=0))
-        da = dh * (1 - h * h)
-        de = (da @ w["mix"].T).reshape(-1, DIM)
-        self._adjust("mix", e.T @ da)
-        self._adjust("bias", da.sum(axis=0))
-        rows, back = np.unique(context.ravel(), return_inverse=True)
-        sums = np.zeros((len(rows), DIM), dtype=np.float32)
-        np.add.at(sums, back, de)
-        real = rows < VOCABULARY
-        self._adjust("emb", sums[real], rows[real])
-
-
-def frequent_words(docs: DataFrame) -> list[str]:
-    """The most frequent words of all documents, ties by word; each batch adds its words up before they are shuffled."""
+        g = {"cls": h.T @ dz, "cls_bias": dz.sum(axis=0), "mem": np.zeros_like(w["mem"]), "mem_bias": np.zeros_like(w["mem_bias"])}
+        for c in range(CLASSES):
+            s, e = edge[c], edge[c + 1]
+            if s < e:
+                dm = _soft(h[s:e] @ w["mem"][c] + w["mem_bias"][c])
+                dm[np.arange(e - s), mem[s:e]] -= 1
+                dm /= n
+                dh[s:e] += dm @ w["mem"][c].T
+                g["mem"][c], g["mem_bias"][c] = h[s:e].T @ dm, dm.sum(axis=0)
+        dh *= 1 - h * h
+        g["bias"] = dh.sum(axis=0)
+        columns, at = dh.T.astype(np.float64), np.ascontiguousarray(at.T)
+        g["mix"], back, sums = np.empty_like(w["mix"]), np.zeros_like(emb.T), np.empty_like(emb.T)
+        for k, m in enumerate(w["mix"]):
+            for d, c in enumerate(columns):
+                sums[d] = np.bincount(at[k], weights=c, minlength=len(seen))
+            g["mix"][k] = (sums @ emb).T
+            back += m @ sums
+        g["emb"] = np.ascontiguousarray(back.T)
+        g["emb"][seen == PAD] = 0
+        return seen, g
+
+    def train(self, context: np.ndarray, y: np.ndarray) -> None:
+        """One Adagrad step."""
+        seen, g = self.gradients(context, y)
+        for key, grad in g.items():
+            at = seen if key == "emb" else ...
+            self.sq[key][at] += grad * grad
+            self.w[key][at] -= RATE * grad / np.sqrt(self.sq[key][at])
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n)`` of all documents, words as bytes; each batch adds its words up before they are shuffled."""
 
     def count(batches):
         for batch in batches:
             n: Counter = Counter()
             for text in batch.column("text").to_pylist():
-                if text:
-                    n.update(text.encode("utf-8", "surrogatepass").lower().split())
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in n], type=pa.string()), pa.array(list(n.values()), type=pa.int64())], names=["word", "n"])
+                n.update(words_of(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), type=pa.binary()), pa.array(list(n.values()), type=pa.int64())], names=["word", "n"])
+        release()
 
-    words = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()]
+    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _train_round(docs: DataFrame, shared) -> DataFrame:
-    """Each partition trains its own copy of the weights on every word of each text, masked in turn: part, n, weights."""
+def spelling_counts(words: DataFrame) -> DataFrame:
+    """``(code, n)``: occurrences of each byte after SPELL bytes in all occurrences of the words; at most 2 ** 24 rows."""
+    pad = b" " * SPELL
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                size = pdf["word"].map(len).to_numpy() + 1
+                code = windows(pad + (b" " + pad).join(pdf["word"]) + b" ", SPELL)
+                first = np.repeat(np.cumsum(size + SPELL) - size - SPELL, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                code, at = np.unique(code[first], return_inverse=True)
+                yield pd.DataFrame({"code": code.astype(np.int64), "n": np.bincount(at, weights=np.repeat(pdf["n"].to_numpy(), size)).astype(np.int64)})
+
+    return words.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def train_group(net: Network, coder: Coder, texts: Iterator[list[bytes]]) -> int:
+    """Learn from every word of each text, masked in turn, in the order given; the number of words."""
+    held, waiting, total = [], 0, 0
+    rng = np.random.default_rng(SEED)
+
+    def step(least):
+        nonlocal held, waiting
+        rows = np.concatenate(held) if held else np.empty((0, 2 * REACH + 1), dtype=np.int32)
+        rows, at = rows[rng.permutation(len(rows))], 0  # neighbouring words are alike
+        while len(rows) - at >= least:
+            part = rows[at : at + BATCH]
+            net.train(part[:, 1:], np.minimum(part[:, 0], RARE))
+            at += len(part)
+        held, waiting = [rows[at:]] if at < len(rows) else [], len(rows) - at
+
+    for words in texts:
+        at = coder([words])[0]
+        ids = coder.ids[at]
+        padded = np.concatenate([np.full(REACH, PAD, np.int32), ids, np.full(REACH, PAD, np.int32)])
+        for at in range(0, len(ids), HELD):
+            m = min(HELD, len(ids) - at)
+            held.append(np.column_stack([ids[at : at + m], *[padded[at + REACH + o : at + REACH + o + m] for o in OFFSETS]]))
+            total, waiting = total + m, waiting + m
+            if waiting >= HELD:
+                step(BATCH)
+    step(1)
+    return total
+
+
+def _train_round(texts: DataFrame, groups: int, shared) -> DataFrame:
+    """Each group of texts, dealt by hash and in the order of hash and text, trains its own copy of the weights: part, n, weights."""
 
     def run(batches):
         from pyspark import TaskContext
 
         flat, frequent = shared.value
-        net, coder, held, total = Network(unflatten(flat)), Coder(frequent), [], 0
-        rng, waiting = np.random.default_rng(SEED), 0
-
-        def step(least):
-            nonlocal held, waiting
-            rows = np.concatenate(held) if held else np.empty((0, 2 * REACH + 1), dtype=np.int32)
-            rows, at = rows[rng.permutation(len(rows))], 0  # neighbouring words are alike
-            while len(rows) - at >= least:
-                part = rows[at : at + BATCH]
-                net.train(part[:, 1:], part[:, 0])
-                at += len(part)
-            held = [rows[at:]] if at < len(rows) else []
-            waiting = len(rows) - at
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ids = coder(text)
-                padded = np.concatenate([np.full(REACH, VOCABULARY, np.int32), ids, np.full(REACH, VOCABULARY, np.int32)])
-                for at in range(0, len(ids), HELD):
-                    m = min(HELD, len(ids) - at)
-                    held.append(np.column_stack([ids[at : at + m], *[padded[at + REACH + o : at + REACH + o + m] for o in _offsets()]]))
-                    total, waiting = total + m, waiting + m
-                    if waiting >= HELD:
-                        step(BATCH)
-        step(1)
+        net = Network(unflatten(flat))
+        total = train_group(net, Coder(frequent), (words_of(t) for batch in batches for t in batch.column("text").to_pylist()))
         if total:
-            weights = flatten(net.w).astype(np.float32) * np.float32(1)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["part", "n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.int64()), pa.array([flatten(net.w).tobytes()], pa.binary())], names=["part", "n", "weights"])
+        del net
+        release()
 
-    return docs.select("text").mapInArrow(run, "part long, n long, weights binary")
+    return texts.repartition(groups, "h").sortWithinPartitions("h", "text").select("text").mapInArrow(run, "part long, n long, weights binary")
+
+
+def merged_mean(pdf: pd.DataFrame) -> np.ndarray:
+    """Mean of the weights by numbers of words, added up in the order of parts."""
+    pdf = pdf.sort_values("part")
+    total = pdf["n"].sum()
+    return sum(np.frombuffer(b, dtype=np.float32) * np.float64(n / total) for b, n in zip(pdf["weights"], pdf["n"], strict=True)).astype(np.float32)
 
 
 def _merge(trained: DataFrame, scratch: Scratch) -> np.ndarray | None:
-    """Mean of the partitions' weights by their numbers of words, by a tree of fan-in MERGE."""
+    """Mean of all groups' weights, by a tree of fan-in MERGE."""
 
     def add(pdf):
-        n = pdf["n"].to_numpy()
-        mean = sum(np.frombuffer(b, dtype=np.float32) * (k / n.sum()) for b, k in zip(pdf["weights"], n, strict=True))
-        return type(pdf)({"part": [pdf["g"].iloc[0]], "n": [n.sum()], "weights": [np.asarray(mean, dtype=np.float32).tobytes()]})
+        return pd.DataFrame({"part": [pdf["g"].iloc[0]], "n": [pdf["n"].sum()], "weights": [merged_mean(pdf).tobytes()]})
 
     cur = scratch.keep(trained, "trained")
     while True:
@@ -238,47 +315,58 @@ def _merge(trained: DataFrame, scratch: Scratch) -> np.ndarray | None:
         scratch.drop(cur)
         rows = merged.limit(2).collect()
         if len(rows) < 2:
-            return np.frombuffer(rows[0]["weights"], dtype=np.float32).astype(np.float32) if rows else None
+            return np.frombuffer(rows[0]["weights"], dtype=np.float32) if rows else None
         cur = merged
 
 
 def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Pseudo-log-likelihood of every whole text.
 
-    The vocabulary is the corpus's most frequent words; the others share ids by hash.
-    A network sees REACH words on either side of a masked word and predicts it through
-    a two-level softmax. It trains once on every word of every document: in each of
-    ROUNDS rounds every partition takes its third of the documents (by hash of doc_id),
-    masks each of their words in turn, and the partitions' weights are averaged by
-    words seen. The frozen
-    network then predicts every word of every text from both sides.
+    All words of all documents are counted. A network sees REACH words on either side
+    of a masked word and predicts it, one of the most frequent words or RARE, through a
+    two-level softmax; it trains on every word of every document, each masked in turn,
+    in ROUNDS rounds of a third of the documents. In a round texts are dealt by hash to
+    groups of about GROUP_WORDS words, each of which trains its own copy in the order
+    of its texts' hashes, and the copies' weights are averaged by words seen, so that
+    scores do not depend on the layout of the input. Which of the rare words a word is
+    comes from a byte context tree of the spellings of all their occurrences. The
+    frozen model then predicts every word of every text from both sides.
 
     Returns doc_id, n_tokens, log_prob (natural, summed) and mean_log_prob. Null or
     blank texts have no tokens, log_prob 0 and a null mean; null doc_ids and repeated
-    rows are scored alike; an empty table gives no rows. The driver holds the
-    vocabulary and one set of weights, both of fixed size.
+    rows are scored alike; an empty table gives no rows. The driver holds the frequent
+    words, the spelling counts and one set of weights, all of bounded size.
     """
     spark = docs.sparkSession
-    frequent = frequent_words(docs)
-    flat = flatten(initial())
+    counts = scratch.keep(word_counts(docs), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.orderBy(F.desc("n"), "word").limit(RARE)
+    frequent = [bytes(r["word"]) for r in top.collect()]
+    rare = counts.join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w in frequent], "word binary")), "word", "left_anti")
+    spell = spelling_counts(rare).toPandas()
+    spelling = Trees([(spell["code"].to_numpy(), spell["n"].to_numpy())], SPELL)
+    scratch.drop(counts)
+
+    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"))
+    groups, flat = max(1, round(total / ROUNDS / GROUP_WORDS)), flatten(initial())
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast((flat, frequent))
-        slice_ = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == r)
-        mean = _merge(_train_round(slice_, shared), scratch)
+        mean = _merge(_train_round(texts.where(F.pmod(F.xxhash64("h"), F.lit(ROUNDS)) == r), groups, shared), scratch)
         flat = flat if mean is None else mean
-    shared = spark.sparkContext.broadcast((flat, frequent))
+    shared = spark.sparkContext.broadcast((flat, frequent, spelling))
 
     def make():
-        flat, frequent = shared.value
-        net, coder = Network(unflatten(flat)), Coder(frequent)
-        pad = np.full(REACH, VOCABULARY, dtype=np.int32)
+        flat, frequent, spelling = shared.value
+        net, coder = Network(unflatten(flat)), Coder(frequent, spelling)
+        pad = np.full(REACH, PAD, dtype=np.int32)
 
         def work(texts):
-            ids = [coder(t) for t in texts]
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            joined = np.concatenate([pad, *[p for x in ids for p in (x, pad)]])
-            sums = np.concatenate([[0.0], np.cumsum(net.log_probs(joined))])
-            start = np.cumsum(np.concatenate([[0], sizes[:-1] + REACH])) if len(ids) else np.empty(0, dtype=np.int64)
+            found = coder([words_of(t) for t in texts])
+            sizes = np.array([len(x) for x in found], dtype=np.int64)
+            joined = np.concatenate([pad, *[p for x in found for p in (coder.ids[x], pad)]])
+            own = np.concatenate([p for x in found for p in (coder.own[x], np.zeros(REACH))]) if found else np.empty(0)
+            sums = np.concatenate([[0.0], np.cumsum(net.log_probs(joined) + own[: len(joined) - 2 * REACH])])
+            start = np.cumsum(np.concatenate([[0], sizes[:-1] + REACH])) if len(found) else np.empty(0, dtype=np.int64)
             total = sums[np.minimum(start + sizes, len(sums) - 1)] - sums[start]
             total[sizes == 0] = 0.0
             return [sizes, total, [t / n if n else None for t, n in zip(total.tolist(), sizes.tolist(), strict=True)]]
