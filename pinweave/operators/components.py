@@ -39,7 +39,7 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 6
         if sums == mark or sums[0] == 0:
             break
         mark = sums
-        nxt = scratch.keep(_round(cur), "links")
+        nxt = scratch.keep(_round(cur), "links", rows=2 * sums[0])
         scratch.drop(cur)
         cur = nxt
     else:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 
 BATCH_ROWS = 1000
+FILE_ROWS = 250_000  # rows of a file where their number is known
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -60,8 +61,11 @@ class Scratch:
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, label: str = "t", rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
+        """``rows``, where a bound is known, keeps a small table from being written as a file for every shuffle partition."""
         self._n += 1
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // each)))
         path = f"{self.base}/{self._n:03d}-{label}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
