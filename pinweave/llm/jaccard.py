@@ -27,6 +27,7 @@ TILE_SHINGLES = 2_000_000  # and its shingles
 BATCH_SHINGLES = 4_000_000  # shingles behind the tiles of one task
 DEALT_SHINGLES = 3_000_000  # shingles behind the part names that one task of the tile join gets
 MAX_BROADCAST_IDS = 1_000_000
+PAIRS = 20_000  # pairs whose bitmaps or sets are compared in one task, where their number is known
 U = np.uint64
 _HASHES: dict[bytes, int] = {}
 
@@ -235,12 +236,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scrat
             yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
         release()
 
-    firsts = pairs.select(F.col("a").alias("node")).distinct()
+    firsts, rows = pairs.select(F.col("a").alias("node")).distinct(), pairs.count()
     sets = scratch.keep(_elements(_texts_of(docs, firsts.union(pairs.select(F.col("b").alias("node"))).distinct()), n), "sets")
     side = lambda df, k: df.select(F.col("node").alias(k), F.col("elements").alias("e" + k))
     left = side(sets, "b").join(broadcast_if_small(pairs, MAX_BROADCAST_IDS), "b")
     right = side(sets.join(broadcast_if_small(firsts, MAX_BROADCAST_IDS), "node", "left_semi"), "a")
-    out = scratch.keep(left.join(right, "a").mapInPandas(run, "a long, b long"), "verified")
+    out = scratch.keep(left.join(right, "a").mapInPandas(run, "a long, b long"), "verified", rows=rows, each=PAIRS)
     scratch.drop(sets)
     return out
 
@@ -345,10 +346,10 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     docs = docs.where("doc_id IS NOT NULL")
     key = ["n_shingles", "h1", "h2"]
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = scratch.keep(named.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
+    total, many = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
+    classes = scratch.keep(named.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes", rows=many)
     same = named.join(classes.where("copies > 1"), key).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a < b")
     # one exchange serves the counting and both sides of the join, as all have the same number of partitions
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEALT_SHINGLES))
     spread = _parts(docs, words, num, den).repartition(tasks, "sig")
     shared = spread.groupBy("sig").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("sig")
@@ -356,34 +357,34 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     del spread, shared  # lets Spark clean up their shuffles
     members = met.join(classes.select(F.col("h1").bitwiseAND(NAME).alias("h"), "node", F.col("n_shingles").alias("size")), "h").select("sig", "node", "size")
     lows = members.groupBy("sig").agg(F.min("node").alias("low"))
-    tiles = scratch.keep(members.join(lows, "sig").where("node > low"), "tiles")
+    tiles = scratch.keep(members.join(lows, "sig").where("node > low"), "tiles", rows=met.count())
     scratch.drop(met)
 
-    involved = scratch.keep(tiles.select("node").union(tiles.select("low")).distinct(), "involved")
+    involved = scratch.keep(tiles.select("node").union(tiles.select("low")).distinct(), "involved", rows=many)
     sets = scratch.keep(_bits(_texts_of(docs, involved), words), "bits")
-    stars = tiles.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verify(scratch.keep(_bounded(stars, sets, num, den), "near"), docs, words, num, den, scratch)
+    stars = scratch.keep(tiles.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "stars", rows=tiles.count())
+    links = _verify(scratch.keep(_bounded(stars, sets, num, den), "near", rows=stars.count(), each=PAIRS), docs, words, num, den, scratch)
 
     who = tiles.groupBy("sig").agg(F.count("*").alias("rows"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).where("rows > 1")
     once = who.groupBy("rows", "x1", "x2").agg(F.min("sig").alias("sig"), F.first("weight").alias("weight")).select("sig", "rows", "weight")
     comp = connected_components(links, scratch)
     labelled = tiles.join(once, "sig").join(comp, "node", "left").select("sig", "node", "size", "rows", "weight", F.coalesce("component", "node").alias("component"))
-    labelled = scratch.keep(labelled, "labelled")
+    labelled = scratch.keep(labelled, "labelled", rows=tiles.count())
     split = labelled.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("sig")
-    open_ = scratch.keep(labelled.join(split, "sig"), "open")
+    open_ = scratch.keep(labelled.join(split, "sig"), "open", rows=labelled.count())
     blocks = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("weight") / TILE_SHINGLES))
     shingles_in = lambda df: df.agg(F.sum(F.col("size") * blocks)).first()[0] or 0
     if load := shingles_in(open_):
         dealt = tile(open_.join(sets.select("node", "bits"), "node"), blocks, F.col("node")).drop("rows", "weight")
-        hit = scratch.keep(_open_rows(dealt, -(-load // BATCH_SHINGLES), num, den), "hit")
+        hit = scratch.keep(_open_rows(dealt, -(-load // BATCH_SHINGLES), num, den), "hit", rows=load, each=BATCH_SHINGLES)
         if load := hit.agg(F.sum("size")).first()[0]:
             exact = scratch.keep(_elements(_texts_of(docs, hit.select("node").distinct()), words), "exact")
-            links = links.union(scratch.keep(_close(hit.join(exact, "node"), -(-load // BATCH_SHINGLES), num, den), "links"))
+            links = links.union(scratch.keep(_close(hit.join(exact, "node"), -(-load // BATCH_SHINGLES), num, den), "links", rows=load, each=BATCH_SHINGLES))
             scratch.drop(exact)
     scratch.drop(sets, tiles)
     comp = connected_components(same.union(links), scratch)
     out = rows.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    result = scratch.keep(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "result")
+    result = scratch.keep(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "result", rows=many)
     scratch.drop(rows)
     return result
 
@@ -398,7 +399,7 @@ def keep_firsts(docs: DataFrame, scratch: Scratch, **params) -> DataFrame:
     found = join_components(docs, scratch, **params)
     lost = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
     many = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    drop = scratch.keep(lost.withColumn("_lost", F.lit(True)).unionByName(many.withColumn("_lost", F.lit(False))).groupBy("_id").agg(F.max("_lost").alias("_lost")), "dropped")
+    drop = scratch.keep(lost.withColumn("_lost", F.lit(True)).unionByName(many.withColumn("_lost", F.lit(False))).groupBy("_id").agg(F.max("_lost").alias("_lost")), "dropped", rows=found.count())
     drop = F.broadcast(drop) if drop.count() <= MAX_BROADCAST_IDS else drop
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id")).join(drop, "_id", "left")
     alone = rows.where("_lost IS NULL").select("_row")
