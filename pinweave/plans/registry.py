@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pinweave.functions.stats import numeric_stats
 from pinweave.model import Hypergraph, PartitionConfig, from_table, modulo_partition
-from pinweave.operators import cuts, graphs, incidence, islands, metrics, multigrid, overlay, projection, spectral, trees
+from pinweave.operators import cuts, euler, graphs, incidence, islands, metrics, multigrid, overlay, projection, spectral, trees
 from pinweave.operators.ordered import dense_ids
 from pinweave.plans import engine
 from pinweave.runtime import Scratch
@@ -377,13 +377,17 @@ def path_best_cut(h, scratch):
     return cuts.best_path_cut(profile, total, metrics.limits_of(total, 2, 2)[1])
 
 
+def _heap(h, scratch):
+    """The tree in which v hangs below (v - 1) // 2."""
+    return euler.rooted(h.vertices.where("v > 0").select("v", F.floor((F.col("v") - 1) / 2).cast("long").alias("u")), 0, scratch)
+
+
 @query("""WITH RECURSIVE {ctes}, an AS (SELECT v AS d, v AS v FROM verts UNION ALL SELECT d, (v - 1) // 2 FROM an WHERE v > 0),
 c AS (SELECT an.v, p.e, count(*) AS n FROM pins p JOIN an ON an.d = p.v GROUP BY 1, 2)
 SELECT b.v, CAST(coalesce(k.cut, 0) AS BIGINT) AS cut, CAST(b.weight AS BIGINT) AS weight FROM (SELECT an.v, sum(vwt) AS weight FROM an JOIN verts ON verts.v = an.d GROUP BY 1) b
 LEFT JOIN (SELECT c.v, sum(hwt) AS cut FROM c JOIN sz USING (e) JOIN edges USING (e) WHERE n < size GROUP BY 1) k ON k.v = b.v""")
 def tree_cut_profile(h, scratch):
-    tree = h.vertices.select("v", F.when(F.col("v") > 0, F.floor((F.col("v") - 1) / 2)).cast("long").alias("parent"))
-    return cuts.tree_profile(h, tree, scratch)
+    return cuts.tree_profile(h, _heap(h, scratch), scratch)
 
 
 @query("""SELECT v, part, CAST(sum(hwt * (CASE WHEN size > 1 AND coalesce(nq, 0) + 1 < size THEN 1 ELSE 0 END - CASE WHEN np < size THEN 1 ELSE 0 END)) AS BIGINT) AS delta
@@ -521,8 +525,7 @@ c AS (SELECT an.v, mp.e, t0, count(*) AS n FROM mp JOIN an ON an.d = mp.v GROUP
 k AS (SELECT c.v, sum(hwt) FILTER (WHERE t0) AS cut0, sum(hwt) FILTER (WHERE NOT t0) AS cut1, sum(hwt) FILTER (WHERE t0 AND n = size) AS fb0, sum(hwt) FILTER (WHERE NOT t0 AND n = size) AS fb1 FROM c JOIN ms USING (e) JOIN edges USING (e) GROUP BY 1)
 SELECT verts.v, CAST(coalesce(cut0, 0) AS BIGINT) AS cut0, CAST(coalesce(cut1, 0) AS BIGINT) AS cut1, CAST(coalesce(fb0, 0) AS BIGINT) AS fb0, CAST(coalesce(fb1, 0) AS BIGINT) AS fb1 FROM verts LEFT JOIN k ON k.v = verts.v""")
 def forced_tree_profile(h, scratch):
-    tree = h.vertices.select("v", F.when(F.col("v") > 0, F.floor((F.col("v") - 1) / 2)).cast("long").alias("parent"))
-    return cuts.forced_profile(h, tree, incidence.sides_from_fixed(h), scratch)
+    return cuts.forced_profile(h, _heap(h, scratch), incidence.sides_from_fixed(h), scratch)
 
 
 @query("{plain}WITH " + f"{CTES},\n{GRAPH}, b AS (SELECT u, v, round(w, 6) AS w FROM g UNION ALL SELECT v, u, round(w, 6) FROM g) SELECT u AS i, v AS j, max(w) AS w FROM b GROUP BY u, v")

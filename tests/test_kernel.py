@@ -70,7 +70,7 @@ def test_two_cliques_are_found(spark, scratch):
     pins += [(m, 3), (m, 20), (m + 1, 30), (m + 1, 31)]
     verts = spark.createDataFrame([(v, 1, 1 if v == 0 else -1) for v in range(32)], "v long, vwt int, fixed int")
     h = Hypergraph(verts, spark.range(m + 2).selectExpr("id AS e", "1 AS hwt"), spark.createDataFrame(pins, "e long, v long"))
-    for cfg in (PartitionConfig(imb=5, refine_iters=1), PartitionConfig(imb=5, local_vertices=3, solver_iters=5)):
+    for cfg in (PartitionConfig(imb=5, refine_iters=1), PartitionConfig(imb=5, local_vertices=3, solver_iters=5, refine_iters=1)):
         got = {r["v"]: r["part"] for r in engine.partition(h, cfg, scratch).collect()}
         assert len(got) == 32 and got[0] == 1
         assert {got[v] for v in range(15)} == {1} and {got[v] for v in range(15, 30)} == {0} and got[30] == got[31]
