@@ -118,3 +118,9 @@ def degrees_upto(graph: DataFrame, scratch: Scratch) -> DataFrame:
 def heaviest_of_pair(links: DataFrame) -> DataFrame:
     """Repeated ``(i, j)`` collapsed to the heaviest."""
     return links.groupBy("i", "j").agg(F.max("w").alias("w"))
+
+
+def column_order(graph: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(pos, i, j, w)``: the entries of the symmetric matrix numbered by column, then row, as in a compressed sparse layout."""
+    entries = both_ways(graph).select(F.col("u").alias("i"), F.col("v").alias("j"), "w")
+    return ordered(entries, ["j", "i"], scratch, rank="pos").select("pos", "i", "j", "w")

@@ -120,6 +120,20 @@ def move_gains(h: Hypergraph, partition: DataFrame, k: int) -> DataFrame:
     return out.select("v", F.col("q").alias("part"), (F.col("kept") - F.coalesce("won", F.lit(0))).cast("long").alias("delta"))
 
 
+def evaluate_candidates(h: Hypergraph, candidates: DataFrame, k: int, imb: float) -> DataFrame:
+    """``(cand, penalty, cutsize)`` of those of ``candidates(cand, v, part)`` that label every vertex with 0 to k - 1 and keep fixed ones in place."""
+    joined = candidates.join(h.vertices, "v")
+    wrong = ~F.coalesce(F.col("part").between(0, k - 1), F.lit(False)) | ((F.col("fixed") >= 0) & (F.col("fixed") != F.col("part")))
+    whole = joined.groupBy("cand").agg(F.count("*").alias("n"), F.max(wrong).alias("wrong")).join(F.broadcast(h.vertices.agg(F.count("*").alias("all"))), F.col("n") == F.col("all")).where("NOT wrong").select("cand")
+    sound = candidates.join(whole, "cand")
+    cut = spans(h, sound, "cand").where("lo <> hi").join(h.hyperedges, "e").groupBy("cand").agg(F.sum("hwt").alias("cutsize"))
+    parts = h.vertices.sparkSession.range(k).select(F.col("id").cast("int").alias("part"))
+    held = sound.join(h.vertices, "v").groupBy("cand", "part").agg(F.sum("vwt").alias("weight"))
+    every = whole.crossJoin(F.broadcast(parts)).join(held, ["cand", "part"], "left").crossJoin(F.broadcast(balance_limits(h, k, imb)))
+    pen = every.groupBy("cand").agg(F.sum(penalty_of(F.coalesce("weight", F.lit(0)), F.col("min_cap"), F.col("max_cap"))).cast("long").alias("penalty"))
+    return pen.join(cut, "cand", "left").select("cand", "penalty", F.coalesce("cutsize", F.lit(0)).alias("cutsize"))
+
+
 def compact_labels(partition: DataFrame) -> DataFrame:
     """Labels renumbered from 0 in the order of each one's first vertex; the labels, not the vertices, are ranked."""
     first = partition.groupBy("part").agg(F.min("v").alias("first"))

@@ -6,6 +6,10 @@ order priority, some suppliers fixed by nation) and orders and their parts.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinweave.functions.stats import numeric_stats
@@ -15,7 +19,6 @@ from pinweave.operators.ordered import dense_ids
 from pinweave.plans import engine
 from pinweave.runtime import Scratch
 
-FLAGSHIP = "spectral_bisect"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -185,9 +188,19 @@ def fixed_violations(h, scratch):
     return metrics.fixed_violations(h, modulo_partition(h.vertices, 2))
 
 
-@query("SELECT true AS complete, count(DISTINCT v % 3) = 3 AS all_parts, NOT coalesce(bool_or(fixed >= 0 AND fixed <> v % 3), false) AS fixed_ok, true AS labels_ok FROM verts")
+LABELLINGS = """lb AS (SELECT 'modulo' AS kind, v, CAST(v % 3 AS INTEGER) AS part FROM verts UNION ALL SELECT 'gaps', v, CAST(v % 3 AS INTEGER) FROM verts WHERE v % 10 <> 3
+UNION ALL SELECT 'outside', v, CAST(CASE WHEN v % 7 = 0 THEN 5 ELSE v % 3 END AS INTEGER) FROM verts UNION ALL SELECT 'held', v, CAST(CASE WHEN fixed >= 0 THEN fixed ELSE v % 2 END AS INTEGER) FROM verts),
+kd AS (SELECT DISTINCT kind FROM lb)"""
+
+
+@query("{plain}WITH " + CTES + ",\n" + LABELLINGS + """ SELECT kind, bool_and(part IS NOT NULL) AS complete, count(DISTINCT part) FILTER (WHERE part BETWEEN 0 AND 2) = 3 AS all_parts, NOT bool_or(fixed >= 0 AND coalesce(part, -1) <> fixed) AS fixed_ok,
+bool_and(coalesce(part BETWEEN 0 AND 2, false)) AS labels_ok FROM kd CROSS JOIN verts LEFT JOIN lb USING (kind, v) GROUP BY kind""")
 def partition_checks(h, scratch):
-    return metrics.checks(h, modulo_partition(h.vertices, 3), 3)
+    """The four predicates on a plain labelling, one with gaps, one with labels outside, and one that holds fixed vertices but leaves a part out."""
+    v, third = F.col("v"), (F.col("v") % 3).cast("int")
+    held = F.when(F.col("fixed") >= 0, F.col("fixed")).otherwise(v % 2).cast("int")
+    kinds = {"modulo": h.vertices.select("v", third.alias("part")), "gaps": h.vertices.where("v % 10 <> 3").select("v", third.alias("part")), "outside": h.vertices.select("v", F.when(v % 7 == 0, 5).otherwise(third).alias("part")), "held": h.vertices.select("v", held.alias("part"))}
+    return reduce(DataFrame.union, [metrics.checks(h, part, 3).select(F.lit(kind).alias("kind"), "complete", "all_parts", "fixed_ok", "labels_ok") for kind, part in kinds.items()])
 
 
 @query("SELECT v, CAST(CASE WHEN v % 4 = 2 THEN 0 ELSE 1 END AS TINYINT) AS side FROM verts")
@@ -280,9 +293,12 @@ def graph_laplacian_rowsum(h, scratch):
     return graphs.laplacian_rows(graphs.hypergraph_to_graph(h, order="pin")).select("u", F.round("diag", 6).alias("diag"), F.round("offsum", 6).alias("offsum"))
 
 
-@query("{plain}WITH " + f"{CTES},\n{GRAPH} SELECT u AS row, round(1e-6 + count(*) - sum(w), 4) AS total, false AS dominated FROM (SELECT u, w FROM g UNION ALL SELECT v, w FROM g) GROUP BY u")
+@query("{plain}WITH " + f"{CTES},\n{GRAPH}, b AS (SELECT u, v, w FROM g UNION ALL SELECT v, u, w FROM g) SELECT u AS row, round(1e-6 + count(*) + sum(CASE WHEN (u + v) % 29 = 0 THEN w ELSE -w END), 4) AS total, bool_or((u + v) % 29 = 0 AND w > 0) AS dominated FROM b GROUP BY u")
 def laplacian_row_sums(h, scratch):
-    return graphs.row_sums(graphs.laplacian(graphs.hypergraph_to_graph(h, order="pin"))).withColumn("total", F.round("total", 4))
+    """Of the Laplacian with some entries' signs turned."""
+    off = (F.col("row") != F.col("col")) & ((F.col("row") + F.col("col")) % 29 == 0)
+    matrix = graphs.laplacian(graphs.hypergraph_to_graph(h, order="pin")).withColumn("val", F.when(off, -F.col("val")).otherwise(F.col("val")))
+    return graphs.row_sums(matrix).withColumn("total", F.round("total", 4))
 
 
 @query("{plain}WITH " + f"{CTES},\n{GRAPH}, b AS (SELECT u, v, w FROM g UNION ALL SELECT v, u, w FROM g) SELECT v AS col, arg_min(u, (-round(w, 6), u)) AS row, round(min(-w), 6) AS val FROM b GROUP BY v")
@@ -411,9 +427,28 @@ def topk_candidates(h, scratch):
     return metrics.top_candidates(_modulo_candidates(h), 3).select("cand", "cutsize")
 
 
-@query(f"SELECT cand, 0 AS penalty, CAST(cutsize AS BIGINT) AS cutsize FROM ({KS}) ORDER BY cutsize, cand LIMIT 1")
+CANDS = f"""cd AS (SELECT range AS cand, v, CAST(CASE WHEN range % 2 = 0 AND fixed >= 0 THEN fixed ELSE (v * range + v // (range + 1)) % 3 END AS INTEGER) AS part FROM verts, range(1, 9)),
+ok AS (SELECT cand FROM cd JOIN verts USING (v) GROUP BY cand HAVING NOT bool_or(fixed >= 0 AND fixed <> part)),
+pw AS (SELECT cand, p.range AS part, coalesce(sum(vwt), 0) AS w FROM ok CROSS JOIN range(3) p LEFT JOIN cd ON cd.cand = ok.cand AND cd.part = p.range LEFT JOIN verts ON verts.v = cd.v GROUP BY ok.cand, p.range),
+li AS (SELECT greatest(floor(sum(vwt)::DOUBLE * (100.0::DOUBLE / 3 - 2) / 100.0), 0) AS low, ceil(sum(vwt)::DOUBLE * (100.0::DOUBLE / 3 + 2) / 100.0) AS high FROM verts),
+cu AS (SELECT cand, sum(hwt) AS cutsize FROM (SELECT cand, e FROM cd JOIN pins USING (v) GROUP BY cand, e HAVING min(part) <> max(part)) JOIN edges USING (e) GROUP BY cand),
+cm AS (SELECT cand, CAST(sum(greatest(low - w, 0) ** 2 + greatest(w - high, 0) ** 2) AS BIGINT) AS penalty, CAST(any_value(cutsize) AS BIGINT) AS cutsize FROM pw JOIN cu USING (cand), li GROUP BY cand)""".replace("SELECT cand, p.range", "SELECT ok.cand AS cand, p.range")
+
+
+def _candidate_table(h):
+    c, v = F.col("cand"), F.col("v")
+    label = F.when((c % 2 == 0) & (F.col("fixed") >= 0), F.col("fixed")).otherwise((v * c + F.floor(v / (c + 1))) % 3)
+    return h.vertices.select("v", "fixed", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("cand")).select("cand", "v", label.cast("int").alias("part"))
+
+
+@query("{plain}WITH " + CTES + ",\n" + CANDS + " SELECT cand, penalty, cutsize FROM cm")
+def candidate_metrics(h, scratch):
+    return metrics.evaluate_candidates(h, _candidate_table(h), 3, 2)
+
+
+@query("{plain}WITH " + CTES + ",\n" + CANDS + " SELECT cand, penalty, cutsize FROM cm ORDER BY penalty, cutsize, cand LIMIT 1")
 def candidate_argmin(h, scratch):
-    return metrics.argmin_candidate(_modulo_candidates(h).withColumn("penalty", F.lit(0)))
+    return metrics.argmin_candidate(metrics.evaluate_candidates(h, _candidate_table(h), 3, 2))
 
 
 @query("{plain}SELECT label, i, count(*) AS n, round(avg(c), 6) AS mean FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS c FROM embeddings) GROUP BY label, i", plain=True)
@@ -465,29 +500,62 @@ def bench_numeric_stats(spark, sf_dir, scratch):
     return rows.select("v", "n", "least", "greatest", "spread", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "deviation")])
 
 
-@query()
+def _facts_sql(k: int, imb: int = 2) -> str:
+    return f"""hp AS (SELECT v, CASE WHEN fixed >= 0 THEN fixed ELSE v % {k} END AS part FROM verts)
+SELECT count(*) AS vertices, CAST(sum(vwt) AS BIGINT) AS weight, CAST(greatest(floor(sum(vwt)::DOUBLE * (100.0::DOUBLE / {k} - {imb}) / 100.0), 0) AS BIGINT) AS min_cap, CAST(ceil(sum(vwt)::DOUBLE * (100.0::DOUBLE / {k} + {imb}) / 100.0) AS BIGINT) AS max_cap,
+CAST((SELECT sum(hwt) FROM edges WHERE e IN (SELECT e FROM pins JOIN hp USING (v) GROUP BY e HAVING min(part) <> max(part))) AS BIGINT) AS plain_cut, true AS complete, true AS all_parts, true AS fixed_ok, true AS balanced, true AS improved FROM verts"""
+
+
+def _facts(h, part, k, scratch, imb=2):
+    """One row: the hypergraph's size, limits and modulo cut, and what must hold of a partition."""
+    part = scratch.keep(part, "partition")
+    plain = h.vertices.select("v", F.when(F.col("fixed") >= 0, F.col("fixed")).otherwise(F.pmod("v", F.lit(k))).cast("int").alias("part"))
+    cut = lambda p, name: metrics.cut_size(h, p).select(F.col("cutsize").alias(name))
+    rows = h.vertices.agg(F.count("*").alias("vertices"), F.sum("vwt").alias("weight")).crossJoin(F.broadcast(metrics.balance_limits(h, k, imb))).crossJoin(F.broadcast(cut(plain, "plain_cut"))).crossJoin(F.broadcast(cut(part, "cut")))
+    rows = rows.crossJoin(F.broadcast(metrics.checks(h, part, k))).crossJoin(F.broadcast(metrics.balance_penalty(h, part, k, imb)))
+    return rows.select("vertices", "weight", "min_cap", "max_cap", "plain_cut", "complete", "all_parts", "fixed_ok", (F.col("penalty") == 0).alias("balanced"), (F.col("labels_ok") & (F.col("cut") <= F.col("plain_cut"))).alias("improved"))
+
+
+def flagship(spark, sf_dir):
+    """A balanced two-way partition of orders' suppliers: (v, part)."""
+    return engine.partition(suppliers_of_orders(spark, sf_dir), PartitionConfig(num_parts=2), Scratch(spark, "flagship"))
+
+
+@query("{plain}WITH " + CTES + ",\n" + _facts_sql(2))
 def spectral_bisect(h, scratch):
-    return engine.partition(h, PartitionConfig(num_parts=2), scratch)
+    return _facts(h, engine.partition(h, PartitionConfig(num_parts=2), scratch), 2, scratch)
 
 
-@query()
+@query("{plain}WITH " + CTES + ",\n" + _facts_sql(4))
 def kway_partition(h, scratch):
-    return engine.partition(h, PartitionConfig(num_parts=4, refine_iters=1), scratch)
+    return _facts(h, engine.partition(h, PartitionConfig(num_parts=4), scratch), 4, scratch)
 
 
-@query()
+@query("{plain}WITH " + CTES + ",\n" + _facts_sql(2))
 def distributed_bisect(h, scratch):
-    """The plan for inputs beyond one task, which keeps every step in tables."""
-    return engine.partition(h, PartitionConfig(num_parts=2, solver_iters=4, local_vertices=0), scratch)
+    """The plan for inputs beyond one task, which keeps every step in tables; only what is left of 40 vertices or fewer goes to the kernel."""
+    return _facts(h, engine.partition(h, PartitionConfig(num_parts=2, local_vertices=40), scratch), 2, scratch)
 
 
-@query()
+@query("{plain}SELECT CAST(range AS INTEGER) AS i, CAST(range AS INTEGER) + 1 AS rank, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS inner_product, 0.0::DOUBLE AS mean, true AS settled FROM range(2)")
 def spectral_embedding(h, scratch):
-    graph = scratch.keep(graphs.hypergraph_to_graph(h), "graph")
-    return spectral.solve(h, graph, 2, 4, scratch).select("v", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
-
-
-@query()
+    """Facts of the embedding after all iterations: values ascend, columns are orthonormal in B and have mean 0, residuals are small."""
+    x = scratch.keep(spectral.solve(h, scratch.keep(graphs.hypergraph_to_graph(h), "graph"), 2, PartitionConfig.solver_iters, scratch), "embedding")
+    lam, held, rest = spectral.quality(h, x, 2)
+    mean = x.agg(*[F.avg(F.col("x")[i]) for i in range(2)]).first()
+    rank = np.argsort(np.argsort(lam)) + 1
+    rows = [(i, int(rank[i]), round(float(held[i, i]), 6), abs(round(float(held[0, 1]), 6)), abs(round(mean[i], 9)), bool(rest[i] < 0.05)) for i in range(2)]
+    return h.vertices.sparkSession.createDataFrame(rows, "i int, rank int, norm double, inner_product double, mean double, settled boolean")
+
+
+@query(_reach("pins", "verts", f"{_cut(2)} UNION {_cut(3)}").rstrip() + """,
+main AS (SELECT comp FROM comp GROUP BY comp ORDER BY count(*) DESC, comp LIMIT 1),
+isl AS (SELECT comp, row_number() OVER (ORDER BY comp) AS i, CAST(sum(CASE WHEN fixed < 0 THEN vwt ELSE 0 END) AS BIGINT) AS free, CAST(sum(CASE WHEN fixed = 0 THEN vwt ELSE 0 END) AS BIGINT) AS f0, CAST(sum(CASE WHEN fixed = 1 THEN vwt ELSE 0 END) AS BIGINT) AS f1
+  FROM comp JOIN verts USING (v) WHERE comp <> (SELECT comp FROM main) GROUP BY comp),
+st AS (SELECT CAST(0 AS BIGINT) AS i, CAST(coalesce(sum(vwt) FILTER (WHERE v % 2 = 0), 0) AS BIGINT) AS l0, CAST(coalesce(sum(vwt) FILTER (WHERE v % 2 = 1), 0) AS BIGINT) AS l1, CAST(-1 AS BIGINT) AS comp, 0 AS part FROM comp JOIN verts USING (v) WHERE comp = (SELECT comp FROM main)
+  UNION ALL SELECT i, l0 + f0 + CASE WHEN pick = 0 THEN free ELSE 0 END, l1 + f1 + CASE WHEN pick = 1 THEN free ELSE 0 END, comp, pick FROM
+    (SELECT isl.*, l0, l1, CASE WHEN f0 + f1 > 0 THEN CASE WHEN f1 > f0 THEN 1 ELSE 0 END ELSE CASE WHEN l1 < l0 THEN 1 ELSE 0 END END AS pick FROM st JOIN isl ON isl.i = st.i + 1))
+SELECT v, CAST(CASE WHEN comp.comp = (SELECT comp FROM main) THEN v % 2 WHEN fixed >= 0 THEN fixed ELSE st.part END AS INTEGER) AS part FROM comp JOIN verts USING (v) LEFT JOIN st ON st.comp = comp.comp""")
 def lift_islands(h, scratch):
     """Labels of the main component of what two cuts leave, carried to all vertices."""
     cut = incidence.union_distinct(*_two_cuts(h))
@@ -528,20 +596,30 @@ def forced_tree_profile(h, scratch):
     return cuts.forced_profile(h, _heap(h, scratch), incidence.sides_from_fixed(h), scratch)
 
 
-@query("{plain}WITH " + f"{CTES},\n{GRAPH}, b AS (SELECT u, v, round(w, 6) AS w FROM g UNION ALL SELECT v, u, round(w, 6) FROM g) SELECT u AS i, v AS j, max(w) AS w FROM b GROUP BY u, v")
+@query("{plain}WITH " + f"{CTES},\n{SMALL},\n{CYCLE} SELECT u AS i, v AS j, round(max(w), 6) AS w FROM (SELECT * FROM sm UNION ALL SELECT * FROM cy) GROUP BY u, v")
 def heaviest_of_pair(h, scratch):
-    graph = graphs.hypergraph_to_graph(h, order="pin")
-    return graphs.heaviest_of_pair(graphs.both_ways(graph).select(F.col("u").alias("i"), F.col("v").alias("j"), F.round("w", 6).alias("w")))
+    """Of all links between two vertices, before they are added up, the heaviest."""
+    links = graphs.small_edge_links(h).union(graphs.cycle_links(h, order="pin"))
+    pairs = links.select(F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "w")
+    return graphs.heaviest_of_pair(pairs).withColumn("w", F.round("w", 6))
 
 
-@query()
+@query("{plain}WITH RECURSIVE " + f"""{CTES},\n{GRAPH}, x AS (SELECT v, {XY} AS x0, {XZ} AS x1 FROM verts),
+gw AS MATERIALIZED (SELECT g.u, g.v, abs(a.x0 - b.x0) + abs(a.x1 - b.x1) AS w FROM g JOIN x a ON a.v = g.u JOIN x b ON b.v = g.v),
+t AS (SELECT [min(u)] AS seen, CAST(NULL AS BIGINT) AS u, CAST(NULL AS BIGINT) AS v, CAST(NULL AS DOUBLE) AS w FROM gw
+  UNION ALL SELECT * FROM (SELECT list_append(seen, CASE WHEN list_contains(seen, gw.u) THEN gw.v ELSE gw.u END), gw.u, gw.v, gw.w FROM t, gw WHERE list_contains(seen, gw.u) <> list_contains(seen, gw.v) ORDER BY gw.w, gw.u, gw.v LIMIT 1))
+SELECT u, v, round(w, 6) AS w FROM t WHERE u IS NOT NULL""")
 def spanning_forest(h, scratch):
-    """The least spanning forest of the graph weighed by distance in two coordinates."""
-    return trees.minimum_spanning_forest(graphs.reweight(graphs.hypergraph_to_graph(h, order="pin"), _embedded(h)), scratch)
+    """The least spanning tree of the graph weighed by distance in two coordinates."""
+    got = trees.minimum_spanning_forest(graphs.reweight(graphs.hypergraph_to_graph(h, order="pin"), _embedded(h)), scratch)
+    return got.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.round("w", 6).alias("w"))
 
 
-@query()
+@query("{plain}WITH RECURSIVE " + f"""{CTES},\n{GRAPH}, bo AS MATERIALIZED (SELECT u, v, round(w, 6) AS w FROM g UNION ALL SELECT v, u, round(w, 6) FROM g),
+hv AS (SELECT u AS a, arg_min(v, (-w, v)) AS b FROM bo GROUP BY u), lk AS MATERIALIZED (SELECT a, b FROM hv UNION SELECT b, a FROM hv),
+r AS (SELECT a AS x, a AS c FROM hv UNION SELECT lk.b, r.c FROM r JOIN lk ON lk.a = r.x), gr AS (SELECT x AS v, min(c) AS g FROM r GROUP BY x)
+SELECT least(p.g, q.g) AS u, greatest(p.g, q.g) AS v, round(sum(w), 6) AS w FROM bo JOIN gr p ON p.v = bo.u JOIN gr q ON q.v = bo.v WHERE bo.u < bo.v AND p.g <> q.g GROUP BY 1, 2""")
 def multigrid_level(h, scratch):
     """The graph of groups one level up."""
-    graph = scratch.keep(graphs.hypergraph_to_graph(h, order="pin"), "graph")
-    return multigrid.coarsen(graph, multigrid.groups(graph, scratch))
+    graph = scratch.keep(graphs.hypergraph_to_graph(h, order="pin").withColumn("w", F.round("w", 6)), "graph")
+    return multigrid.coarsen(graph, multigrid.groups(graph, scratch)).withColumn("w", F.round("w", 6))

@@ -1,16 +1,16 @@
 """Hypergraph, fixed, partition, graph and case files.
 
-A hypergraph file is a header ``m n [fmt]``, m lines of 1-based vertices (led by the
+Files may lie in any store that Hadoop knows. A hypergraph file is a header ``m n [fmt]``, m lines of 1-based vertices (led by the
 edge's weight unless fmt is 0 or 10), then up to n vertex weights, whatever fmt says;
-blank weight lines are skipped and missing weights are 1. Positions matter, so a file
-is read as one split by the ``hgr`` data source, line by line.
+blank weight lines are skipped and missing weights are 1. Lines get their numbers from
+byte offsets, so files are read in splits like any other input.
 """
 
 from __future__ import annotations
 
 import gzip
 import json
-from pathlib import Path
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +18,48 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from pinweave.model import Hypergraph
 from pinweave.operators.ordered import ordered
-from pinweave.runtime import Scratch, ship_package
+from pinweave.runtime import Scratch
 
 UNWEIGHTED = ("0", "10")
 NO_PARTS = -1
 
 
-def _lines(path: str):
-    path = path.removeprefix("file://").removeprefix("file:")
-    with gzip.open(path, "rt") if path.endswith(".gz") else open(path) as f:
-        for line in f:
-            yield line.rstrip("\r\n")
+def _store(spark: SparkSession, path: str):
+    """The file system and path of a name in any store that Hadoop knows; a bare name is a local one."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path if ":/" in path else f"file:{os.path.abspath(path)}")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _store(spark, path)
+    return bool(fs.exists(p))
+
+
+class _Writer:
+    """A text file in any store, written in blocks."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        fs, p = _store(spark, path)
+        self.out, self.held, self.size = fs.create(p, True), [], 0
+
+    def line(self, text: str) -> None:
+        self.held.append(text)
+        self.size += len(text) + 1
+        if self.size > 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.out.write(bytearray(("\n".join(self.held) + "\n").encode()))
+        self.held, self.size = [], 0
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.flush()
+        self.out.close()
 
 
 def parse_hypergraph(lines):
@@ -65,20 +96,19 @@ def parse_hypergraph(lines):
 
 
 class _HgrReader(DataSourceReader):
-    def __init__(self, path: str, kind: str):
-        self.path, self.kind = path, kind
+    def __init__(self, lines: list[str], kind: str):
+        self.lines, self.kind = lines, kind
 
     def read(self, partition):
         if self.kind == "hgr":
-            yield from parse_hypergraph(_lines(self.path))
+            yield from parse_hypergraph(self.lines)
         else:
-            numbers = (line.split()[0] for line in _lines(self.path) if line.strip())
-            for i, x in enumerate(numbers):
+            for i, x in enumerate(line.split()[0] for line in self.lines if line.strip()):
                 yield "v", i, 0, int(x)
 
 
 class HgrSource(DataSource):
-    """``spark.read.format("hgr").option("kind", "hgr" or "labels").load(path)``"""
+    """``spark.read.format("hgr").option("kind", "hgr" or "labels").load(path)`` for local files; the readers below take any store."""
 
     @classmethod
     def name(cls):
@@ -88,39 +118,36 @@ class HgrSource(DataSource):
         return "kind string, id long, pos int, value long"
 
     def reader(self, schema):
-        return _HgrReader(self.options["path"], self.options.get("kind", "hgr"))
+        path = self.options["path"].removeprefix("file://").removeprefix("file:")
+        with gzip.open(path, "rt") if path.endswith(".gz") else open(path) as f:
+            return _HgrReader([line.rstrip("\r\n") for line in f], self.options.get("kind", "hgr"))
 
 
-def _load(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    ship_package(spark)
-    spark.dataSource.register(HgrSource)
-    return spark.read.format("hgr").option("kind", kind).load(path)
-
-
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, scratch: Scratch | None = None) -> DataFrame:
     """``(v, part)`` of a partition, hint or fixed file: one number a line, blank lines skipped."""
-    return _load(spark, path, "labels").select(F.col("id").alias("v"), F.col("value").cast("int").alias("part"))
+    scratch = scratch or Scratch(spark, "labels")
+    lines = read_lines(spark, path, scratch).where("trim(line) <> ''")
+    return ordered(lines, ["line_no"], scratch, rank="v").select("v", F.split(F.trim("line"), r"\s+")[0].cast("int").alias("part"))
 
 
-def read_hypergraph(spark: SparkSession, path: str, fixed: str | None = None, keep_repeats: bool = False) -> Hypergraph:
-    """A hypergraph file and, if given, its fixed file; repeated pins of an edge count once unless kept."""
-    rows = _load(spark, path, "hgr")
-    pins = rows.where("kind = 'p'").select(F.col("id").alias("e"), "pos", F.col("value").alias("v"))
-    pins = pins if keep_repeats else pins.groupBy("e", "v").agg(F.min("pos").alias("pos"))
-    vertices = rows.where("kind = 'v'").select(F.col("id").alias("v"), F.col("value").cast("int").alias("vwt"))
-    held = read_labels(spark, fixed).withColumnRenamed("part", "fixed") if fixed else None
-    vertices = vertices.join(held, "v", "left").select("v", "vwt", F.coalesce("fixed", F.lit(-1)).alias("fixed")) if fixed else vertices.withColumn("fixed", F.lit(-1))
-    return Hypergraph(vertices, rows.where("kind = 'e'").select(F.col("id").alias("e"), F.col("value").cast("int").alias("hwt")), pins.select("e", "pos", "v"))
+def read_hypergraph(spark: SparkSession, path: str, fixed: str | None = None, keep_repeats: bool = False, scratch: Scratch | None = None) -> Hypergraph:
+    """A hypergraph file in any store and, if given, its fixed file; repeated pins of an edge count once unless kept."""
+    scratch = scratch or Scratch(spark, "hypergraph")
+    h = read_large_hypergraph(spark, path, scratch, keep_repeats)
+    if fixed is None:
+        return h
+    held = read_labels(spark, fixed, scratch).withColumnRenamed("part", "fixed")
+    return h.with_(vertices=h.vertices.drop("fixed").join(held, "v", "left").select("v", "vwt", F.coalesce("fixed", F.lit(-1)).alias("fixed")))
 
 
 def read_lines(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """``(line_no, line)`` of a text file in any store that Spark reads, split like any other input: byte offsets order the lines."""
-    rows = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
+    rows = spark.sparkContext.newAPIHadoopFile(path if ":/" in path else f"file:{os.path.abspath(path)}", "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
     return ordered(spark.createDataFrame(rows, "at long, line string"), ["at"], scratch, rank="line_no").select("line_no", "line")
 
 
-def read_large_hypergraph(spark: SparkSession, path: str, scratch: Scratch) -> Hypergraph:
-    """The same as ``read_hypergraph`` for files beyond one task: lines are numbered and parsed in parallel."""
+def read_large_hypergraph(spark: SparkSession, path: str, scratch: Scratch, keep_repeats: bool = False) -> Hypergraph:
+    """Lines are numbered by byte offset and parsed in parallel, so a file may be of any size."""
     lines = scratch.keep(read_lines(spark, path, scratch), "lines")
     head = lines.where("line_no = 0").first()
     if head is None:
@@ -137,7 +164,7 @@ def read_large_hypergraph(spark: SparkSession, path: str, scratch: Scratch) -> H
     pins = edges.select("e", F.posexplode(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))) if led else F.col("t")).alias("pos", "v")).select("e", "pos", (F.col("v") - 1).alias("v"))
     if pins.where((F.col("v") < 0) | (F.col("v") >= n)).limit(1).count():
         raise ValueError(f"an edge names a vertex outside 1..{n}")
-    pins = pins.groupBy("e", "v").agg(F.min("pos").alias("pos")).select("e", "pos", "v")
+    pins = pins if keep_repeats else pins.groupBy("e", "v").agg(F.min("pos").alias("pos")).select("e", "pos", "v")
     given = lines.where((F.col("line_no") > m) & (F.trim("line") != "")).select("line_no", F.split(F.trim("line"), r"\s+")[0].cast("int").alias("w"))
     given = ordered(given, ["line_no"], scratch, rank="v").where(F.col("v") < n).select("v", "w")
     vertices = spark.range(n).withColumnRenamed("id", "v").join(given, "v", "left").select("v", F.coalesce("w", F.lit(1)).alias("vwt"), F.lit(-1).alias("fixed"))
@@ -146,24 +173,28 @@ def read_large_hypergraph(spark: SparkSession, path: str, scratch: Scratch) -> H
 
 def read_partition_if_valid(spark: SparkSession, path: str, n: int) -> DataFrame | None:
     """A partition file if it is there and has n rows."""
-    if not Path(path).exists():
+    if not exists(spark, path):
         return None
     rows = read_labels(spark, path)
     return rows if rows.count() == n else None
 
 
-def read_method_marker(path: str) -> str:
+def read_method_marker(spark: SparkSession, path: str) -> str:
     """The first line of a marker file, '' if there is none."""
-    return next(_lines(path), "").strip() if Path(path).exists() else ""
+    if not exists(spark, path):
+        return ""
+    first = spark.read.text(path if ":/" in path else f"file:{os.path.abspath(path)}").first()
+    return first["value"].strip() if first else ""
 
 
-def _write_lines(df: DataFrame, path: str, head: list[str], order: str, text: str = "line") -> None:
+def _write_lines(df: DataFrame, path: str, head: list[str], order: str, text: str = "line", more: DataFrame | None = None) -> None:
     """A positional file has one writer: rows are sorted by Spark and streamed to it."""
-    with open(path, "w") as f:
+    with _Writer(df.sparkSession, path) as f:
         for line in head:
-            f.write(line + "\n")
-        for r in df.orderBy(order).select(text).toLocalIterator():
-            f.write(r[0] + "\n")
+            f.line(line)
+        for rows in (df.orderBy(order).select(text), more):
+            for r in rows.toLocalIterator() if rows is not None else ():
+                f.line(r[0])
 
 
 def write_partition(partition: DataFrame, path: str) -> None:
@@ -176,11 +207,8 @@ def write_hypergraph(h: Hypergraph, path: str, vwt_plus_one: bool = False) -> No
     key = F.struct("pos", "v") if "pos" in h.pins.columns else F.struct(F.col("v").alias("pos"), "v")
     pins = h.pins.groupBy("e").agg(F.transform(F.array_sort(F.collect_list(key)), lambda s: (s["v"] + 1).cast("string")).alias("vs"))
     edges = h.hyperedges.join(pins, "e", "left").select("e", F.concat_ws(" ", F.col("hwt").cast("string"), "vs").alias("line"))
-    _write_lines(edges, path, [f"{m} {n} 11"], "e")
     add = int(vwt_plus_one and h.vertices.where("vwt > 1").limit(1).count() > 0)
-    with open(path, "a") as f:
-        for r in h.vertices.orderBy("v").select((F.col("vwt") + add).cast("string")).toLocalIterator():
-            f.write(r[0] + "\n")
+    _write_lines(edges, path, [f"{m} {n} 11"], "e", more=h.vertices.orderBy("v").select((F.col("vwt") + add).cast("string")))
 
 
 def metis_weight(w):
@@ -214,12 +242,14 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 def write_results(df: DataFrame, path: str, kind: str) -> None:
     """Result tables as ``tsv``, ``json`` or ``md``; a report is small and has one writer."""
     rows = [r.asDict() for r in df.toLocalIterator()]
-    with open(path, "w") as f:
-        if kind == "json":
-            json.dump(rows, f, indent=1, default=str)
-        elif kind == "tsv":
-            f.writelines("\t".join(x) + "\n" for x in [df.columns, *[[str(r[c]) if r[c] is not None else "" for c in df.columns] for r in rows]])
-        elif kind == "md":
-            f.writelines("| " + " | ".join(x) + " |\n" for x in [df.columns, ["---"] * len(df.columns), *[[str(r[c]) for c in df.columns] for r in rows]])
-        else:
-            raise ValueError(f"no such format: {kind}")
+    if kind == "json":
+        lines = json.dumps(rows, indent=1, default=str).split("\n")
+    elif kind == "tsv":
+        lines = ["\t".join(x) for x in [df.columns, *[[str(r[c]) if r[c] is not None else "" for c in df.columns] for r in rows]]]
+    elif kind == "md":
+        lines = ["| " + " | ".join(x) + " |" for x in [df.columns, ["---"] * len(df.columns), *[[str(r[c]) for c in df.columns] for r in rows]]]
+    else:
+        raise ValueError(f"no such format: {kind}")
+    with _Writer(df.sparkSession, path) as f:
+        for line in lines:
+            f.line(line)

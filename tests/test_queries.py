@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pinweave.plans import registry
+from pinweave.plans import extra, registry
+
+QUERIES, ORACLE_SQL = registry.QUERIES | extra.QUERIES, registry.ORACLE_SQL | extra.ORACLE_SQL
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,9 +26,9 @@ def plain(df: pd.DataFrame) -> list:
     return sorted(repr([None if x is None or x is pd.NA or x != x else x.item() if hasattr(x, "item") else x for x in r]) for r in df.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
-    assert plain(registry.QUERIES[name](spark, DIR).toPandas()) == plain(duck.sql(registry.ORACLE_SQL[name]).df())
+    assert plain(QUERIES[name](spark, DIR).toPandas()) == plain(duck.sql(ORACLE_SQL[name]).df())
 
 
 def test_flagship_is_balanced_and_better_than_modulo(spark, scratch):
@@ -34,7 +36,7 @@ def test_flagship_is_balanced_and_better_than_modulo(spark, scratch):
     from pinweave.operators import metrics
 
     h = registry.suppliers_of_orders(spark, DIR)
-    part = scratch.keep(registry.QUERIES[registry.FLAGSHIP](spark, DIR))
+    part = scratch.keep(registry.flagship(spark, DIR))
     assert part.count() == h.vertices.count()
     assert metrics.balance_penalty(h, part, 2, 2).first()["penalty"] == 0
     assert metrics.cut_size(h, part).first()["cutsize"] <= metrics.cut_size(h, modulo_partition(h.vertices, 2)).first()["cutsize"]
@@ -82,3 +84,7 @@ def test_streaming_leaves_late_rows_out(spark, tmp_path):
     q.stop()
     got = [(r["e"], r["lo"], r["hi"], r["n"]) for r in spark.table("late").collect()]
     assert sorted(got) == [(7, 0, 0, 1), (7, 0, 1, 2), (8, 0, 1, 2), (8, 1, 1, 1)]  # the last row of edge 7 came after the watermark
+
+
+def test_every_engine_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
