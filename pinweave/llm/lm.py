@@ -177,10 +177,11 @@ class Network:
         """
         w, n = self.w, len(y)
         seen, at = np.unique(context, return_inverse=True)
-        at, emb = at.reshape(context.shape), w["emb"][seen]
+        at, emb, mix = at.reshape(context.shape), w["emb"][seen], np.concatenate(list(w["mix"]), axis=1)
+        tables = emb @ mix
         h = np.repeat(w["bias"][None, :], n, axis=0)
-        for k, m in enumerate(w["mix"]):
-            h += (emb @ m)[at[:, k]]
+        for k in range(len(OFFSETS)):
+            h += tables[:, k * DIM : (k + 1) * DIM][at[:, k]]
         np.tanh(h, out=h)
         cls, mem = y // MEMBERS, y % MEMBERS
         order, edge = _by_class(cls)
@@ -201,13 +202,12 @@ class Network:
         dh *= 1 - h * h
         g["bias"] = dh.sum(axis=0)
         columns, at = dh.T.astype(np.float64), np.ascontiguousarray(at.T)
-        g["mix"], back, sums = np.empty_like(w["mix"]), np.zeros_like(emb.T), np.empty_like(emb.T)
-        for k, m in enumerate(w["mix"]):
+        sums = np.empty((len(OFFSETS) * DIM, len(seen)), dtype=emb.dtype)
+        for k, ids in enumerate(at):
             for d, c in enumerate(columns):
-                sums[d] = np.bincount(at[k], weights=c, minlength=len(seen))
-            g["mix"][k] = (sums @ emb).T
-            back += m @ sums
-        g["emb"] = np.ascontiguousarray(back.T)
+                sums[k * DIM + d] = np.bincount(ids, weights=c, minlength=len(seen))
+        g["mix"] = (sums @ emb).reshape(len(OFFSETS), DIM, DIM).transpose(0, 2, 1)
+        g["emb"] = np.ascontiguousarray((mix @ sums).T)
         g["emb"][seen == PAD] = 0
         return seen, g
 
@@ -250,10 +250,10 @@ def spelling_counts(words: DataFrame) -> DataFrame:
     return words.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def train_group(net: Network, coder: Coder, texts: Iterator[list[bytes]]) -> int:
-    """Learn from every word of each text, masked in turn, in the order given; the number of words."""
+def train_group(net: Network, texts: Iterator[np.ndarray]) -> int:
+    """Learn from every word of each text of context ids, masked in turn, in the order given; the number of words."""
     held, waiting, total = [], 0, 0
-    rng = np.random.default_rng(SEED)
+    rng, pad = np.random.default_rng(SEED), np.full(REACH, PAD, dtype=np.int32)
 
     def step(least):
         nonlocal held, waiting
@@ -265,10 +265,8 @@ def train_group(net: Network, coder: Coder, texts: Iterator[list[bytes]]) -> int
             at += len(part)
         held, waiting = [rows[at:]] if at < len(rows) else [], len(rows) - at
 
-    for words in texts:
-        at = coder([words])[0]
-        ids = coder.ids[at]
-        padded = np.concatenate([np.full(REACH, PAD, np.int32), ids, np.full(REACH, PAD, np.int32)])
+    for ids in texts:
+        padded = np.concatenate([pad, ids, pad])
         for at in range(0, len(ids), HELD):
             m = min(HELD, len(ids) - at)
             held.append(np.column_stack([ids[at : at + m], *[padded[at + REACH + o : at + REACH + o + m] for o in OFFSETS]]))
@@ -279,21 +277,24 @@ def train_group(net: Network, coder: Coder, texts: Iterator[list[bytes]]) -> int
     return total
 
 
-def _train_round(texts: DataFrame, groups: int, shared) -> DataFrame:
-    """Each group of texts, dealt by hash and in the order of hash and text, trains its own copy of the weights: part, n, weights."""
+def _unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, dtype=np.uint16).astype(np.int32)
+
+
+def _train_round(coded: DataFrame, groups: int, shared) -> DataFrame:
+    """Each group of texts, dealt by hash and in the order of hash and words, trains its own copy of the weights: part, n, weights."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        flat, frequent = shared.value
-        net = Network(unflatten(flat))
-        total = train_group(net, Coder(frequent), (words_of(t) for batch in batches for t in batch.column("text").to_pylist()))
+        net = Network(unflatten(shared.value))
+        total = train_group(net, (_unpacked(x) for batch in batches for x in batch.column("ids").to_pylist()))
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.int64()), pa.array([flatten(net.w).tobytes()], pa.binary())], names=["part", "n", "weights"])
         del net
         release()
 
-    return texts.repartition(groups, "h").sortWithinPartitions("h", "text").select("text").mapInArrow(run, "part long, n long, weights binary")
+    return coded.repartition(groups, "h").sortWithinPartitions("h", "ids").select("ids").mapInArrow(run, "part long, n long, weights binary")
 
 
 def merged_mean(pdf: pd.DataFrame) -> np.ndarray:
@@ -347,30 +348,40 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spelling = Trees([(spell["code"].to_numpy(), spell["n"].to_numpy())], SPELL)
     scratch.drop(counts)
 
-    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"))
+    shared_words = spark.sparkContext.broadcast((frequent, spelling))
+
+    def code():
+        coder = Coder(*shared_words.value)
+
+        def work(texts):
+            found = coder([words_of(t) for t in texts])
+            return [[len(x) for x in found], [float(coder.own[x].sum()) for x in found], [coder.ids[x].astype(np.uint16).tobytes() for x in found]]
+
+        return work
+
+    fields = [("n_tokens", pa.int64(), "long"), ("own", pa.float64(), "double"), ("ids", pa.binary(), "binary")]
+    coded = scratch.keep(map_texts(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), code, fields), "coded")
     groups, flat = max(1, round(total / ROUNDS / GROUP_WORDS)), flatten(initial())
     for r in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((flat, frequent))
-        mean = _merge(_train_round(texts.where(F.pmod(F.xxhash64("h"), F.lit(ROUNDS)) == r), groups, shared), scratch)
+        shared = spark.sparkContext.broadcast(flat)
+        mean = _merge(_train_round(coded.where((F.pmod(F.xxhash64("h"), F.lit(ROUNDS)) == r) & (F.col("n_tokens") > 0)).select("h", "ids"), groups, shared), scratch)
         flat = flat if mean is None else mean
-    shared = spark.sparkContext.broadcast((flat, frequent, spelling))
+    shared = spark.sparkContext.broadcast(flat)
 
     def make():
-        flat, frequent, spelling = shared.value
-        net, coder = Network(unflatten(flat)), Coder(frequent, spelling)
-        pad = np.full(REACH, PAD, dtype=np.int32)
+        net, pad = Network(unflatten(shared.value)), np.full(REACH, PAD, dtype=np.int32)
 
         def work(texts):
-            found = coder([words_of(t) for t in texts])
-            sizes = np.array([len(x) for x in found], dtype=np.int64)
-            joined = np.concatenate([pad, *[p for x in found for p in (coder.ids[x], pad)]])
-            own = np.concatenate([p for x in found for p in (coder.own[x], np.zeros(REACH))]) if found else np.empty(0)
-            sums = np.concatenate([[0.0], np.cumsum(net.log_probs(joined) + own[: len(joined) - 2 * REACH])])
-            start = np.cumsum(np.concatenate([[0], sizes[:-1] + REACH])) if len(found) else np.empty(0, dtype=np.int64)
+            ids = [_unpacked(x) for x in texts]
+            sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            sums = np.concatenate([[0.0], np.cumsum(net.log_probs(np.concatenate([pad, *[p for x in ids for p in (x, pad)]])))])
+            start = np.cumsum(np.concatenate([[0], sizes[:-1] + REACH])) if len(ids) else np.empty(0, dtype=np.int64)
             total = sums[np.minimum(start + sizes, len(sums) - 1)] - sums[start]
             total[sizes == 0] = 0.0
-            return [sizes, total, [t / n if n else None for t, n in zip(total.tolist(), sizes.tolist(), strict=True)]]
+            return [total]
 
         return work
 
-    return map_texts(docs.select("doc_id", "text"), make, [("n_tokens", pa.int64(), "long"), ("log_prob", pa.float64(), "double"), ("mean_log_prob", pa.float64(), "double")])
+    out = map_texts(coded.select("doc_id", "n_tokens", "own", "ids"), make, [("net", pa.float64(), "double")], column="ids")
+    log_prob = F.col("own") + F.col("net")
+    return out.select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))

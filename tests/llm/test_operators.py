@@ -558,7 +558,8 @@ def plain_scores(texts, hashes, rounds):
     for r in range(lm.ROUNDS):
         mine = sorted((h, t) for h, t, k in zip(hashes, texts, rounds, strict=True) if t is not None and k == r)
         net = lm.Network(lm.unflatten(lm.flatten(net.w)))
-        lm.train_group(net, lm.Coder(frequent), iter([lm.words_of(t) for _, t in mine]))
+        coded = sorted((h, np.array([frequent.index(w) if w in frequent else lm.RARE + zlib.crc32(w) % lm.HASHED for w in lm.words_of(t)], dtype=np.uint16).tobytes()) for h, t in mine)
+        lm.train_group(net, (np.frombuffer(x, dtype=np.uint16).astype(np.int32) for _, x in coded if x))
     grams = Counter()
     for w, n in counts.items():
         if w not in frequent:
