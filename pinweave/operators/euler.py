@@ -52,6 +52,17 @@ def rooted(links: DataFrame, root: int, scratch: Scratch) -> DataFrame:
     return scratch.keep(rows.select("v", "parent", F.col("tin").cast("long").alias("tin"), "tout", "depth").union(top), "rooted")
 
 
+def placed(tree: DataFrame, scratch: Scratch) -> DataFrame:
+    """A tree with preorder positions: as it is if it has them, else ``(v, parent)`` rooted at the vertex without another parent."""
+    if "tin" in tree.columns:
+        return tree
+    links = tree.where("parent IS NOT NULL AND parent <> v").select(F.col("parent").alias("u"), "v")
+    root = tree.where("parent IS NULL OR parent = v").agg(F.min("v")).first()[0]
+    if root is None:
+        raise ValueError("the tree has no root")
+    return rooted(links, int(root), scratch)
+
+
 def lca(pairs: DataFrame, tree: DataFrame, scratch: Scratch) -> DataFrame:
     """Add ``top``, the preorder position of the lowest common ancestor, to ``pairs(lo, hi)`` of preorder positions, lo <= hi.
 
