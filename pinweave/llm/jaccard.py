@@ -27,7 +27,7 @@ TILE_SHINGLES = 2_000_000  # and its shingles
 BATCH_SHINGLES = 4_000_000  # shingles behind the tiles of one task
 DEALT_SHINGLES = 3_000_000  # shingles behind the part names that one task of the tile join gets
 MAX_BROADCAST_IDS = 1_000_000
-PAIRS = 20_000  # pairs whose bitmaps or sets are compared in one task, where their number is known
+PAIRS = 4_000  # pairs whose bitmaps or sets are compared in one task, where their number is known
 U = np.uint64
 _HASHES: dict[bytes, int] = {}
 
