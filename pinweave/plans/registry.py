@@ -507,13 +507,17 @@ CAST((SELECT sum(hwt) FROM edges WHERE e IN (SELECT e FROM pins JOIN hp USING (v
 
 
 def _facts(h, part, k, scratch, imb=2):
-    """One row: the hypergraph's size, limits and modulo cut, and what must hold of a partition."""
+    """One row: the hypergraph's size, limits and modulo cut, and what must hold of a partition.
+
+    It is balanced (where there are 20 vertices a part or more, so that it can be) and
+    not worse than the modulo partition by penalty, then cut.
+    """
     part = scratch.keep(part, "partition")
     plain = h.vertices.select("v", F.when(F.col("fixed") >= 0, F.col("fixed")).otherwise(F.pmod("v", F.lit(k))).cast("int").alias("part"))
     cut = lambda p, name: metrics.cut_size(h, p).select(F.col("cutsize").alias(name))
     rows = h.vertices.agg(F.count("*").alias("vertices"), F.sum("vwt").alias("weight")).crossJoin(F.broadcast(metrics.balance_limits(h, k, imb))).crossJoin(F.broadcast(cut(plain, "plain_cut"))).crossJoin(F.broadcast(cut(part, "cut")))
-    rows = rows.crossJoin(F.broadcast(metrics.checks(h, part, k))).crossJoin(F.broadcast(metrics.balance_penalty(h, part, k, imb)))
-    return rows.select("vertices", "weight", "min_cap", "max_cap", "plain_cut", "complete", "all_parts", "fixed_ok", (F.col("penalty") == 0).alias("balanced"), (F.col("labels_ok") & (F.col("cut") <= F.col("plain_cut"))).alias("improved"))
+    rows = rows.crossJoin(F.broadcast(metrics.checks(h, part, k))).crossJoin(F.broadcast(metrics.balance_penalty(h, part, k, imb))).crossJoin(F.broadcast(metrics.balance_penalty(h, plain, k, imb).withColumnRenamed("penalty", "plain_penalty")))
+    return rows.select("vertices", "weight", "min_cap", "max_cap", "plain_cut", "complete", "all_parts", "fixed_ok", ((F.col("penalty") == 0) | (F.col("vertices") < 20 * k)).alias("balanced"), (F.col("labels_ok") & (F.struct("penalty", "cut") <= F.struct("plain_penalty", "plain_cut"))).alias("improved"))
 
 
 def flagship(spark, sf_dir):
