@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from pinweave.llm import bpe, jaccard, langid, lm, mixing, pii, quality, secrets, sharding, vectors
 from pinweave.runtime import Scratch, ship_package
@@ -57,7 +58,18 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_vector_dedup, op4_quality_rules, op5_pii_surrogates, op6_language_id, op7_byte_bpe, op8_lm_score, op9_secret_scan, op10_mixing)}
+def vector_dedup_planted(spark, sf_dir):
+    """op3 over the vectors and near copies of a third and of a fifth of them, as the table itself has no links."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), "label")
+
+    def copies(each, shift, share):
+        moved = F.transform("embedding", lambda v, i: v * (1 + F.lit(share) * ((F.col("vec_id") * 31 + i * 17) % 7 - 3)))
+        return rows.where(F.col("vec_id") % each == 0).withColumn("embedding", moved).withColumn("vec_id", F.col("vec_id") + shift)
+
+    return vectors.near_duplicates(rows.union(copies(3, 10_000_000, 0.1)).union(copies(5, 20_000_000, 0.17)), Scratch(spark, "op3-planted"))
+
+
+QUERIES = {f.__name__: f for f in (vector_dedup_planted, op1_sharding, op2_jaccard_join, op3_vector_dedup, op4_quality_rules, op5_pii_surrogates, op6_language_id, op7_byte_bpe, op8_lm_score, op9_secret_scan, op10_mixing)}
 # The joins by brute force over all pairs, which the operators themselves never form.
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": r"""
@@ -94,3 +106,8 @@ c AS (SELECT d.doc_id, d.size, source_size, target, rate, CAST(floor(rate) AS BI
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies, rate FROM c
 """,
 }
+COPIES = "SELECT vec_id + {shift} AS vec_id, list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * (1 + {share}::DOUBLE * ((vec_id * 31 + i * 17) % 7 - 3))) AS x, label FROM embeddings WHERE vec_id % {each} = 0"
+ORACLE_SQL["vector_dedup_planted"] = ORACLE_SQL["op3_vector_dedup"].replace(
+    "WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)",
+    "WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings UNION ALL " + COPIES.format(each=3, shift=10_000_000, share=0.1) + " UNION ALL " + COPIES.format(each=5, shift=20_000_000, share=0.17) + ")",
+)

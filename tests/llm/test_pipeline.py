@@ -58,4 +58,28 @@ def test_stages_equal_brute_force(spark, scratch):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(m[1]) for q in queries.QUERIES if (m := re.match(r"op(\d+)_", q))) == list(range(1, 11))
+
+
+def test_stages_on_an_empty_table_and_on_nulls(spark, scratch, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, DIR).columns == docs.columns and stage(spark, docs, DIR).count() == 0, name
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, None), (3, "a b c d e f", "en", "a", 11), (3, "a b c d e f", "en", "a", 11)], schema)
+    for _, stage in corpus_pipeline.STAGES[1:-1]:  # language ID goes first and leaves no null texts
+        assert stage(spark, odd, DIR).columns == odd.columns
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.drop_near_duplicates(spark, odd, DIR).collect()) == [0, 1, 2, 3]
+    assert corpus_pipeline.tokenize(spark, odd, DIR).count() == 5
+
+
+def test_planted_vectors_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DIR}/embeddings.parquet'")
+    got = queries.vector_dedup_planted(spark, DIR).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(queries.ORACLE_SQL["vector_dedup_planted"]).fetchall())
+    assert sum(r["n_links"] > 0 for r in got) > 100
