@@ -14,28 +14,41 @@ from pinweave.runtime import Scratch, ship_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised, with lang as predicted."""
+    """Documents whose language is recognised, with lang as predicted.
+
+    Texts that are null, empty or without letters go, and so does every document if no
+    lang is known to learn from. Repeated rows stay; an empty table gives no rows.
+    """
     return langid.keep_identified(docs, Scratch(spark, "pipeline-language"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at a Jaccard similarity of 0.8 or more over five-word shingles."""
+    """One document of each group linked at a Jaccard similarity of 0.8 or more over five-word shingles, that of the least doc_id.
+
+    Rows without text, words or doc_id are linked with nothing and stay. Of several rows
+    of one doc_id one stays. An empty table gives no rows.
+    """
     return jaccard.keep_firsts(docs, Scratch(spark, "pipeline-jaccard"), words=5, num=80, den=100)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
+    """All documents, secrets in their texts replaced by a mark; null and empty texts and repeated rows stay as they are."""
     ship_package(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that the sources' words meet their target weights."""
+    """Documents repeated or left out so that the sources' words meet their target weights.
+
+    A null source is a source of its own; texts without words follow their source's
+    rate; rows that are equal in doc_id and text are drawn alike. An empty table gives
+    no rows.
+    """
     return mixing.emit(docs, Scratch(spark, "pipeline-mix"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document with the digests of ids and decoded text."""
+    """Token ids of every row with the digests of ids and decoded text; a null text has none."""
     ship_package(spark)
     return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
 
