@@ -38,12 +38,14 @@ def ship_package(spark: SparkSession) -> None:
     if any(os.path.basename(p) == "pinweave.zip" for p in sc._python_includes):
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="pinweave-"), "pinweave.zip")
+    folder = tempfile.mkdtemp(prefix="pinweave-")  # on the driver, which serves the file to the workers
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "pinweave.zip")
     with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(top):
+        for at, _, names in os.walk(top):
             for name in names:
                 if name.endswith(".py"):
-                    path = os.path.join(folder, name)
+                    path = os.path.join(at, name)
                     z.write(path, os.path.join("pinweave", os.path.relpath(path, top)))
     sc.addPyFile(target)
 
