@@ -65,9 +65,11 @@ ORACLE_SQL = None  # code lengths and subword merges have no SQL; tests compare
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written and read again before the next."""
+    """All stages over ``documents``, each result written and read again before the next and dropped after it."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "_scratch_path"):
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
