@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pinweave.llm import bpe, jaccard, langid, lm, mixing, pii, quality, secrets, sharding, vectors
+from pinweave.llm import audit, bpe, jaccard, langid, lm, mixing, pii, quality, search, secrets, sharding, vectors, warc
 from pinweave.runtime import Scratch, ship_package
 
 
@@ -58,6 +58,19 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op11_warc(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    return warc.page_records(pages, Scratch(spark, "op11"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_lexical_search(spark, sf_dir):
+    return search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark, "op12"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Scratch(spark, "op13"))
+
+
 def vector_dedup_planted(spark, sf_dir):
     """op3 over the vectors and near copies of a third and of a fifth of them, as the table itself has no links."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), "label")
@@ -69,7 +82,7 @@ def vector_dedup_planted(spark, sf_dir):
     return vectors.near_duplicates(rows.union(copies(3, 10_000_000, 0.1)).union(copies(5, 20_000_000, 0.17)), Scratch(spark, "op3-planted"))
 
 
-QUERIES = {f.__name__: f for f in (vector_dedup_planted, op1_sharding, op2_jaccard_join, op3_vector_dedup, op4_quality_rules, op5_pii_surrogates, op6_language_id, op7_byte_bpe, op8_lm_score, op9_secret_scan, op10_mixing)}
+QUERIES = {f.__name__: f for f in (vector_dedup_planted, op1_sharding, op2_jaccard_join, op3_vector_dedup, op4_quality_rules, op5_pii_surrogates, op6_language_id, op7_byte_bpe, op8_lm_score, op9_secret_scan, op10_mixing, op11_warc, op12_lexical_search, op13_filter_audit)}
 # The joins by brute force over all pairs, which the operators themselves never form.
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": r"""
@@ -106,6 +119,42 @@ c AS (SELECT d.doc_id, d.size, source_size, target, rate, CAST(floor(rate) AS BI
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies, rate FROM c
 """,
 }
+ORACLE_SQL["op11_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (j // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (j % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL["op12_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_TERM}') AS ts FROM documents),
+s AS (SELECT *, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0), g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM s),
+i AS (SELECT item_id, row_number() OVER () AS q, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM benchmark),
+iq AS (SELECT q, any_value(item_id) AS item_id, t, count(*) AS c FROM i GROUP BY q, t),
+e AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM s) WHERE t IN (SELECT t FROM iq) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM e GROUP BY t), g),
+x AS (SELECT item_id, q, s.doc_id, r, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS score FROM iq JOIN w USING (t) JOIN e USING (t) JOIN s USING (r), g GROUP BY item_id, q, s.doc_id, r),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+ORACLE_SQL["op13_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, CAST(len(ws) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INTEGER) + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INTEGER)
+  + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(u.doc_id > first, false) AS INTEGER) AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM u LEFT JOIN l USING (doc_id)),
+c AS MATERIALIZED (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, CAST(step AS INTEGER), 1) AS f, CAST(1 AS BIGINT) << CAST(ascii(substr(filter_order, CAST(step AS INTEGER), 1)) - 65 AS INTEGER) AS own,
+  CAST(list_sum(list_transform(range(1, step), lambda j: 1 << (ascii(substr(filter_order, CAST(j AS INTEGER), 1)) - 65))) AS BIGINT) AS prior FROM o, (SELECT unnest(range(1, 6)) AS step)),
+a AS (SELECT part, filter_order, step, f, CAST(sum(n) FILTER (WHERE fails & (own | coalesce(prior, 0)) = 0) AS BIGINT) AS kept, CAST(sum(n) FILTER (WHERE fails & own <> 0 AND fails & coalesce(prior, 0) = 0) AS BIGINT) AS removed,
+  CAST(sum(n) FILTER (WHERE fails & own <> 0 AND fails & coalesce(prior, 0) <> 0) AS BIGINT) AS redundant, CAST(sum(n) FILTER (WHERE fails = own) AS BIGINT) AS unique_fails,
+  CAST(sum(good) FILTER (WHERE fails & own <> 0 AND fails & coalesce(prior, 0) = 0) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (WHERE fails & own <> 0 AND fails & coalesce(prior, 0) = 0) AS BIGINT) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM a
+"""
 COPIES = "SELECT vec_id + {shift} AS vec_id, list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * (1 + {share}::DOUBLE * ((vec_id * 31 + i * 17) % 7 - 3))) AS x, label FROM embeddings WHERE vec_id % {each} = 0"
 ORACLE_SQL["vector_dedup_planted"] = ORACLE_SQL["op3_vector_dedup"].replace(
     "WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)",
