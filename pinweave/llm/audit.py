@@ -39,7 +39,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if have < n:
         _POWERS.clear()
         have = max(n, PIECE)
-        _POWERS[have] = tuple(np.cumprod(np.concatenate([[1], np.full(have, base, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64) for base in (_ODD, pow(_ODD, -1, 1 << 64)))
+        _POWERS[have] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(have, base, dtype=np.uint64)]), dtype=np.uint64) for base in (_ODD, pow(_ODD, -1, 1 << 64)))
     return _POWERS[have]
 
 
