@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Hypergraph:
-    """``vertices(v, vwt, fixed)``, ``hyperedges(e, hwt)`` and ``pins(e, v[, pos])``; fixed is -1 for free vertices."""
+    """``vertices(v, vwt, fixed)``, ``hyperedges(e, hwt)`` and ``pins(e, v[, pos])``; fixed is -1 for free vertices, weights are longs."""
 
     vertices: DataFrame
     hyperedges: DataFrame
@@ -56,9 +56,9 @@ def from_table(df: DataFrame, edge: str, vertex: str, hwt: DataFrame | None = No
     """
     pins = df.select(F.col(edge).cast("long").alias("e"), F.col(vertex).cast("long").alias("v")).where("e IS NOT NULL AND v IS NOT NULL").distinct()
     edges = pins.select("e").distinct()
-    edges = edges.join(hwt, "e", "left").select("e", F.coalesce("hwt", F.lit(1)).cast("int").alias("hwt")) if hwt is not None else edges.withColumn("hwt", F.lit(1))
+    edges = edges.join(hwt, "e", "left").select("e", F.coalesce("hwt", F.lit(1)).cast("long").alias("hwt")) if hwt is not None else edges.withColumn("hwt", F.lit(1).cast("long"))
     if vertices is None:
-        vertices = pins.select("v").distinct().select("v", F.lit(1).alias("vwt"), F.lit(-1).alias("fixed"))
+        vertices = pins.select("v").distinct().select("v", F.lit(1).cast("long").alias("vwt"), F.lit(-1).alias("fixed"))
     return Hypergraph(vertices, edges, pins)
 
 

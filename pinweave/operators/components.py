@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pinweave.runtime import Scratch
@@ -23,25 +23,28 @@ def _round(links: DataFrame) -> DataFrame:
     return small.select(F.col("p.y").alias("a"), F.col("p.x").alias("b")).where("a < b").distinct()
 
 
-def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Return ``(node, component)`` for every node of ``links(a, b)``; component is the least node id.
 
     Each round replaces neighbourhoods by stars around their least node (a group-by
     and two joins, all on node ids) and writes the shrunken link table, so a round
     never holds a neighbourhood in memory and hubs are split by adaptive skew joins.
-    Links that are null or join a node to itself are ignored; repeated links count once.
+    Rounds end when a table equals the one before by count and checksum, which the
+    write itself takes. Links that are null or join a node to itself are ignored;
+    repeated links count once.
     """
-    cur = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cur = scratch.keep(cur, "links")
-    mark = None
-    for _ in range(max_rounds):
-        sums = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sums == mark or sums[0] == 0:
-            break
-        mark = sums
-        nxt = scratch.keep(_round(cur), "links", rows=2 * sums[0])
+
+    def written(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        kept = scratch.keep(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "links", rows)
+        return kept, (seen.get["n"], seen.get["s"])
+
+    cur, mark = written(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while mark[0]:
+        nxt, now = written(_round(cur), 2 * mark[0])
         scratch.drop(cur)
         cur = nxt
-    else:
-        raise RuntimeError("components did not settle")
+        if now == mark:
+            break
+        mark = now
     return cur.select(F.col("b").alias("node"), F.col("a").alias("component")).union(cur.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

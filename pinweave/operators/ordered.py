@@ -2,34 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pinweave.runtime import Scratch
 
-INDEX_BITS = (1 << 33) - 1
-
 
 def ordered(df: DataFrame, by: list, scratch: Scratch, rank: str = "rank", sums: dict[str, str] | None = None) -> DataFrame:
-    """Add the 0-based position in the order ``by`` and inclusive running sums ``{new: column}``.
+    """Add the 0-based position in the order ``by`` and inclusive running sums ``{new: column}`` (null counts as 0).
 
-    Rows are range-partitioned and sorted; each partition numbers and sums its own
-    rows, and one row of totals for each partition carries the offsets. ``by`` must
-    end in a key that leaves no ties.
+    Rows are range-partitioned and sorted; each task numbers and sums its own rows as
+    they pass, and one row of totals for each partition carries the offsets. ``by``
+    must end in a key that leaves no ties.
     """
     sums = sums or {}
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    local = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    local = local.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit(INDEX_BITS)))
-    local = scratch.keep(local, "ordered")
-    upto = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    totals = local.groupBy("_p").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{new}") for new, c in sums.items()])
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    offsets = totals.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"), *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_o_{new}") for new in sums])
-    out = local.join(F.broadcast(offsets), "_p").withColumn(rank, F.col("_o") + F.col("_i"))
-    for new, c in sums.items():
-        out = out.withColumn(new, F.col(f"_o_{new}") + F.sum(c).over(upto))
-    return out.drop("_p", "_i", "_o", *[f"_o_{new}" for new in sums])
+    kept = [c for c in df.columns if c != rank and c not in sums]
+    whole = {new: not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) for new, c in sums.items()}
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("_p", T.IntegerType()), T.StructField("_i", T.LongType()), *[T.StructField(f"_u_{new}", T.LongType() if whole[new] else T.DoubleType()) for new in sums]])
+
+    def run(batches):
+        own, n, upto = TaskContext.get().partitionId(), 0, dict.fromkeys(sums, 0)
+        for batch in batches:
+            cols = [batch.column(c) for c in kept] + [pa.array(np.full(batch.num_rows, own, np.int32)), pa.array(np.arange(n, n + batch.num_rows))]
+            for new, c in sums.items():
+                run = np.cumsum(pc.fill_null(batch.column(c), 0).cast(pa.int64() if whole[new] else pa.float64()).to_numpy(zero_copy_only=False)) + upto[new]
+                upto[new] = run[-1] if len(run) else upto[new]
+                cols.append(pa.array(run))
+            n += batch.num_rows
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    local = scratch.keep(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema), "ordered")
+    totals = local.groupBy("_p").agg(F.count("*"), *[F.max_by(f"_u_{new}", "_i") for new in sums]).collect()  # one row for each partition
+    before, offsets = [0, *[0 if whole[new] else 0.0 for new in sums]], []
+    for p, *own in sorted(tuple(r) for r in totals):
+        offsets.append((p, *before))
+        before = [a + b for a, b in zip(before, own, strict=True)]
+    offsets = df.sparkSession.createDataFrame(offsets, ", ".join(["_p int", "_o long", *[f"_o_{new} {'long' if whole[new] else 'double'}" for new in sums]]))
+    out = local.join(F.broadcast(offsets), "_p")
+    return out.select(*kept, (F.col("_o") + F.col("_i")).alias(rank), *[(F.col(f"_o_{new}") + F.col(f"_u_{new}")).alias(new) for new in sums])
 
 
 def dense_ids(df: DataFrame, key: str, scratch: Scratch, new: str = "new_id") -> DataFrame:

@@ -36,8 +36,8 @@ def table(spark, sf_dir, name):
 
 def suppliers_of_orders(spark, sf_dir) -> Hypergraph:
     lines = table(spark, sf_dir, "lineitem")
-    hwt = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("e"), F.substring("o_orderpriority", 1, 1).cast("int").alias("hwt"))
-    count = lines.groupBy(F.col("l_suppkey").alias("v")).agg(F.count("*").cast("int").alias("n"))
+    hwt = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("e"), F.substring("o_orderpriority", 1, 1).cast("long").alias("hwt"))
+    count = lines.groupBy(F.col("l_suppkey").alias("v")).agg(F.count("*").alias("n"))
     fixed = F.when(F.col("s_nationkey") == 0, 0).when(F.col("s_nationkey") == 1, 1).otherwise(-1)
     verts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("v"), fixed.alias("fixed")).join(count, "v", "left")
     return from_table(lines, "l_orderkey", "l_suppkey", hwt, verts.select("v", F.coalesce("n", F.lit(1)).alias("vwt"), "fixed"))
@@ -253,7 +253,7 @@ def contract(h, scratch):
     return overlay.contracted_sets(h, h.vertices.select("v", F.floor(F.col("v") / 3).cast("long").alias("c")))
 
 
-@query("SELECT v // 3 AS c, CAST(sum(vwt) AS INTEGER) AS vwt, coalesce(arg_max(fixed, v) FILTER (WHERE fixed >= 0), -1) AS fixed FROM verts GROUP BY 1")
+@query("SELECT v // 3 AS c, CAST(sum(vwt) AS BIGINT) AS vwt, coalesce(arg_max(fixed, v) FILTER (WHERE fixed >= 0), -1) AS fixed FROM verts GROUP BY 1")
 def contract_vertices(h, scratch):
     return overlay.contract(h, h.vertices.select("v", F.floor(F.col("v") / 3).cast("long").alias("c"))).vertices.withColumnRenamed("v", "c")
 

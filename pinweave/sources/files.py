@@ -160,12 +160,12 @@ def read_large_hypergraph(spark: SparkSession, path: str, scratch: Scratch, keep
         raise ValueError(f"the file ends before edge {m}")
     tokens = F.filter(F.split(F.trim("line"), r"\s+"), lambda t: t != "")
     edges = lines.where(F.col("line_no").between(1, m)).select((F.col("line_no") - 1).alias("e"), F.transform(tokens, lambda t: t.cast("long")).alias("t"))
-    hwt = F.when(F.lit(led) & (F.size("t") > 0), F.try_element_at("t", F.lit(1))).otherwise(1).cast("int")
+    hwt = F.when(F.lit(led) & (F.size("t") > 0), F.try_element_at("t", F.lit(1))).otherwise(1).cast("long")
     pins = edges.select("e", F.posexplode(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))) if led else F.col("t")).alias("pos", "v")).select("e", "pos", (F.col("v") - 1).alias("v"))
     if pins.where((F.col("v") < 0) | (F.col("v") >= n)).limit(1).count():
         raise ValueError(f"an edge names a vertex outside 1..{n}")
     pins = pins if keep_repeats else pins.groupBy("e", "v").agg(F.min("pos").alias("pos")).select("e", "pos", "v")
-    given = lines.where((F.col("line_no") > m) & (F.trim("line") != "")).select("line_no", F.split(F.trim("line"), r"\s+")[0].cast("int").alias("w"))
+    given = lines.where((F.col("line_no") > m) & (F.trim("line") != "")).select("line_no", F.split(F.trim("line"), r"\s+")[0].cast("long").alias("w"))
     given = ordered(given, ["line_no"], scratch, rank="v").where(F.col("v") < n).select("v", "w")
     vertices = spark.range(n).withColumnRenamed("id", "v").join(given, "v", "left").select("v", F.coalesce("w", F.lit(1)).alias("vwt"), F.lit(-1).alias("fixed"))
     return Hypergraph(vertices, edges.select("e", hwt.alias("hwt")), pins)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pinweave.plans import extra, registry
+from pinweave.plans import advanced, extra, registry  # noqa: F401  advanced registers with extra
 
 QUERIES, ORACLE_SQL = registry.QUERIES | extra.QUERIES, registry.ORACLE_SQL | extra.ORACLE_SQL
 
