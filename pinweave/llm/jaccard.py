@@ -21,7 +21,7 @@ BITS_EACH = 8  # bits of a bitmap for each element, rounded up to a power of two
 LEAST_BITS = 512
 VOCABULARY = 200_000  # word hashes that a worker remembers
 SEEN = 200_000  # names of sets that a worker remembers, so as to write the parts of copies once
-NAME = (1 << 48) - 1  # part and set names in shuffles have 48 bits; a chance meeting costs a comparison
+NAME = (1 << 48) - 1  # part and set names in shuffles have 48 bits; sets are told apart by 32 more, so that a chance meeting costs a comparison
 TILE_ROWS = 4096  # rows of a block of a hot tile
 TILE_SHINGLES = 2_000_000  # and its shingles
 BATCH_SHINGLES = 4_000_000  # shingles behind the tiles of one task
@@ -153,31 +153,35 @@ def _digest(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _parts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Names of parts and of the sets that have them: sig, h. A set that a task meets again is written once."""
+    """Names of parts and of the sets that have them, with what tells sets of one name apart: sig, h, c. A set that a task meets again is written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
+        packed = lambda *cols: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["sig", "h", "c"])
         for batch in batches:
-            sigs, sets, many = [], [], 0
+            sigs, sets, others, many = [], [], [], 0
             for text in batch.column("text").to_pylist():
                 h = shingles(text, n)
-                name = int(_name(h)[0]) & NAME if len(h) else None
-                if name is None or name in seen:
+                if not len(h):
+                    continue
+                whole = tuple(_name(h).tolist())
+                if whole in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
-                seen.add(name)
+                seen.add(whole)
                 sigs.append((signatures(h, num, den) & U(NAME)).view(np.int64))
-                sets.append(np.full(len(sigs[-1]), name, dtype=np.int64))
+                sets.append(np.full(len(sigs[-1]), whole[0] & NAME, dtype=np.int64))
+                others.append(np.full(len(sigs[-1]), whole[1] & 0xFFFFFFFF, dtype=np.uint32).view(np.int32))
                 many += len(sigs[-1])
                 if many >= 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sets))], names=["sig", "h"])
-                    sigs, sets, many = [], [], 0
+                    yield packed(sigs, sets, others)
+                    sigs, sets, others, many = [], [], [], 0
             if many:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sets))], names=["sig", "h"])
+                yield packed(sigs, sets, others)
         release()
 
-    return docs.select("text").mapInArrow(run, "sig long, h long")
+    return docs.select("text").mapInArrow(run, "sig long, h long, c int")
 
 
 def _bits(texts: DataFrame, n: int) -> DataFrame:
@@ -352,8 +356,8 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     # one exchange serves the counting and both sides of the join, as all have the same number of partitions
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEALT_SHINGLES))
     spread = _parts(docs, words, num, den).repartition(tasks, "sig")
-    shared = spread.groupBy("sig").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("sig")
-    met = scratch.keep(spread.join(shared, "sig").distinct(), "met")
+    shared = spread.groupBy("sig").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("low < high OR c0 < c1").select("sig")
+    met = scratch.keep(spread.join(shared, "sig").select("sig", "h").distinct(), "met")
     del spread, shared  # lets Spark clean up their shuffles
     members = met.join(classes.select(F.col("h1").bitwiseAND(NAME).alias("h"), "node", F.col("n_shingles").alias("size")), "h").select("sig", "node", "size")
     lows = members.groupBy("sig").agg(F.min("node").alias("low"))

@@ -198,20 +198,26 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = 0.93)
     vectors: vec_id, embedding, label (of any plain type). Returns vec_id, n_links,
     component_id, kept. Null, empty or zero vectors, those with null or non-finite
     components and those without a label link with nothing, and only vectors of equal
-    length are compared. Rows of one vec_id are one node in components; a null vec_id
+    length are compared. Rows of one vec_id are one node in components and one of the
+    vectors that n_links counts; a null vec_id
     links with nothing, has a null component and is not kept. An empty table gives no
     rows.
     """
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+    # components near the ends of the doubles' range are moved by a power of two, so that their squares neither overflow nor vanish
+    most = F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double"))))
+    shift = F.when(most > 1e150, F.lit(2.0**-600)).when(most < 1e-150, F.lit(2.0**600)).otherwise(F.lit(1.0))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
     sound = F.coalesce((norm > 0) & (norm < F.lit(float("inf"))) & ~F.isnan(norm), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    vec = F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0))
+    vec = F.transform("embedding", lambda v: v.cast("double") * F.col("_shift") + F.lit(0.0))
     label = F.col("label") + F.lit(0.0).cast(vectors.schema["label"].dataType) if isinstance(vectors.schema["label"].dataType, (FloatType, DoubleType)) else F.col("label")
     kind = "<f4" if isinstance(getattr(vectors.schema["embedding"].dataType, "elementType", None), FloatType) else "<f8"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.cast("string").alias("label"), vec.alias("embedding"), sound.alias("sound"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding", shift.alias("_shift")).select("vec_id", label.cast("string").alias("_label"), vec.alias("embedding"), "label")
+    rows = rows.select("vec_id", F.col("_label").alias("label"), "embedding", sound.alias("sound"))
     good = rows.where("sound").withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.hash("embedding"))
     key = ["label", "k1", "k2", "dim"]
     good = good.withColumn("dim", F.size("embedding"))
-    classes = scratch.keep(good.groupBy(*key).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "classes")
+    copies = good.select(*key, "vec_id").distinct().groupBy(*key).agg(F.count("*").alias("copies"))  # other vectors are those of other vec_ids
+    classes = scratch.keep(good.groupBy(*key).agg(F.min("vec_id").alias("node"), F.first("embedding").alias("embedding")).join(copies, key), "classes")
     named = scratch.keep(_named(classes.select("node", "label", "copies", "dim", "embedding"), kind), "named")
     filed = named.select(F.explode("cells").alias("cell"), "node")
     full = filed.groupBy("cell").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).where("rows > 1")

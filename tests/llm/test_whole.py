@@ -2,7 +2,7 @@
 
 import random
 
-from pinweave.llm import jaccard, lm, secrets
+from pinweave.llm import jaccard, lm, secrets, vectors
 
 
 def test_repeated_rows_do_not_hide_tiles(spark, scratch):
@@ -53,3 +53,21 @@ def test_model_trains_on_every_word(spark, scratch, monkeypatch):
     monkeypatch.setattr(lm, "_merge", count)
     got = lm.score(docs, scratch).collect()
     assert sum(seen) == sum(r["n_tokens"] for r in got) == 3 * 503
+
+
+def test_sets_of_one_short_name_are_not_lost(spark, scratch, monkeypatch):
+    monkeypatch.setattr(jaccard, "NAME", 63)  # all names of sets and parts meet others by chance
+    rnd = random.Random(11)
+    rows = []
+    for i in range(60):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(60)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, "more"]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_vectors_at_the_ends_of_the_range_and_repeated_ids(spark, scratch):
+    rows = [(1, [1e200, 1.0], 0), (2, [1e200, 1.0], 0), (3, [1e-200, 0.0], 1), (4, [1e-200, 0.0], 1), (5, [5e-324, 0.0], 1), (6, [1e308, 1e308], 2), (7, [1e307, 1.1e307], 2), (8, [0.0, 0.0], 2)]
+    rows += [(11, [1.0, 0.2], 3), (11, [1.0, 0.2], 3), (12, [1.0, 0.2], 3), (13, [1.0, 0.3], 3), (14, [float("inf"), 1.0], 0)]
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), scratch).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 2, 3), (5, 2, 3), (6, 1, 6), (7, 1, 6), (8, 0, 8), (11, 2, 11), (12, 2, 11), (13, 2, 11), (14, 0, 14)}
