@@ -52,6 +52,11 @@ def rooted(links: DataFrame, root: int, scratch: Scratch) -> DataFrame:
     return scratch.keep(rows.select("v", "parent", F.col("tin").cast("long").alias("tin"), "tout", "depth").union(top), "rooted")
 
 
+def rooted_forest(links: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """Trees of a forest, each from its vertex in ``roots(v)``, rooted together below a vertex of id -1 that ids must leave free."""
+    return rooted(links.select("u", "v").union(roots.select(F.lit(-1).cast("long").alias("u"), "v")), -1, scratch)
+
+
 def placed(tree: DataFrame, scratch: Scratch) -> DataFrame:
     """A tree with preorder positions: as it is if it has them, else ``(v, parent)`` rooted at the vertex without another parent."""
     if "tin" in tree.columns:

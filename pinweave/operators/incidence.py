@@ -12,6 +12,15 @@ from pinweave.operators.ordered import dense_ids
 from pinweave.runtime import Scratch
 
 
+def side_by_side(h: Hypergraph, copies: int) -> Hypergraph:
+    """The hypergraph ``copies`` times over; vertex and edge i of copy c is ``i * copies + c``."""
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("_c")
+    at = lambda c: (F.col(c) * copies + F.col("_c")).alias(c)
+    return Hypergraph(
+        h.vertices.select("v", "vwt", "fixed", each).select(at("v"), "vwt", "fixed"), h.hyperedges.select("e", "hwt", each).select(at("e"), "hwt"), h.pins.select("e", "v", each).select(at("e"), at("v"))
+    )
+
+
 def edge_sizes(h: Hypergraph) -> DataFrame:
     """``(e, size)`` of edges with pins."""
     return h.pins.groupBy("e").agg(F.count("*").alias("size"))
