@@ -357,9 +357,10 @@ def join_components(docs: DataFrame, scratch: Scratch, words: int = 3, num: int
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEALT_SHINGLES))
     spread = _parts(docs, words, num, den).repartition(tasks, "sig")
     shared = spread.groupBy("sig").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("low < high OR c0 < c1").select("sig")
-    met = scratch.keep(spread.join(shared, "sig").select("sig", "h").distinct(), "met")
+    met = scratch.keep(spread.join(shared, "sig").distinct(), "met")
     del spread, shared  # lets Spark clean up their shuffles
-    members = met.join(classes.select(F.col("h1").bitwiseAND(NAME).alias("h"), "node", F.col("n_shingles").alias("size")), "h").select("sig", "node", "size")
+    whose = classes.select(F.col("h1").bitwiseAND(NAME).alias("h"), F.shiftright(F.shiftleft("h2", 32), 32).cast("int").alias("c"), "node", F.col("n_shingles").alias("size"))
+    members = met.join(whose, ["h", "c"]).select("sig", "node", "size")
     lows = members.groupBy("sig").agg(F.min("node").alias("low"))
     tiles = scratch.keep(members.join(lows, "sig").where("node > low"), "tiles", rows=met.count())
     scratch.drop(met)
