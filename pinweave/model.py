@@ -35,9 +35,11 @@ class PartitionConfig:
     seed: int = 0
     projection: str = "lda"
     perm_order: str = "hash"
-    tol: float = 1e-4  # of a column's image, at which its residual counts as settled
-    local_vertices: int = 2_000  # vertices left at which coarsening ends
-    local_pins: int = 100_000  # pins of a tiny contraction that may be searched exactly in one task
+    tol: float = 1e-8
+    settle: float = 1e-4  # on tables, the share of a column's image at which its residual counts as settled
+    coarse_vertices: int = 2_000  # on tables, vertices left at which coarsening ends
+    local_vertices: int = 200_000
+    local_pins: int = 5_000_000
     coarse_solver: Callable | None = None  # (hypergraph arrays, k, least, most) -> labels or None
 
     def __post_init__(self):

@@ -6,7 +6,7 @@ degree do not matter: a tour of 2n arcs is ranked in log n rounds of one join ea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pinweave.operators.ordered import ordered
@@ -26,13 +26,20 @@ def _tour(links: DataFrame, root: int, scratch: Scratch) -> DataFrame:
     stop = (F.col("b") == root) & (F.col("i") == F.col("last"))
     step = around.join(to, "turned").join(reverse, (F.col("b") == F.col("tail")) & (F.col("c") == F.col("head")))
     cur = step.select("i", F.when(~stop, F.col("next")).alias("next"), F.when(stop, F.lit(0)).otherwise(1).cast("long").alias("left"))
-    cur = scratch.keep(cur, "steps")
-    while cur.where("next IS NOT NULL").limit(1).count():
-        ahead = cur.select(F.col("i").alias("next"), F.col("next").alias("then"), F.col("left").alias("more"))
-        nxt = scratch.keep(cur.join(ahead, "next", "left").select("i", F.col("then").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "steps")
-        scratch.drop(cur)
-        cur = nxt
-    total = arcs.count()
+
+    def written(df: DataFrame) -> tuple[DataFrame, int, int]:
+        seen = Observation()
+        kept = scratch.keep(df.observe(seen, F.count("next").alias("open"), F.count(F.lit(1)).alias("n")), "steps")
+        return kept, seen.get["open"], seen.get["n"]
+
+    cur, more, total = written(cur)
+    while more:
+        old = cur
+        for _ in range(2):
+            ahead = cur.select(F.col("i").alias("next"), F.col("next").alias("then"), F.col("left").alias("more"))
+            cur = cur.join(ahead, "next", "left").select("i", F.col("then").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
+        cur, more, _ = written(cur)
+        scratch.drop(old)
     return arcs.join(cur, "i").select("a", "b", (F.lit(total - 1) - F.col("left")).alias("pos"))
 
 
